@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
+from .media import op6_media_columns
+from .token_store import op10_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op6_media_columns": op6_media_columns,
+        "op10_token_store": op10_token_store,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
