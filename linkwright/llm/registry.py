@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
 from .media import op6_media_columns
+from .quality import op9_quality_resampling
 from .token_store import op10_token_store
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op6_media_columns": op6_media_columns,
+        "op9_quality_resampling": op9_quality_resampling,
         "op10_token_store": op10_token_store,
     }
 
