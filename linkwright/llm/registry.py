@@ -7,19 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_byte_bpe
+from .chat import OP4_SQL, op4_preference_chat
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .media import op6_media_columns
+from .packing import op5_length_packing
 from .quality import op9_quality_resampling
 from .token_store import op10_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op1_byte_bpe": op1_byte_bpe,
-        "op6_media_columns": op6_media_columns,
-        "op9_quality_resampling": op9_quality_resampling,
-        "op10_token_store": op10_token_store,
-    }
+    found = (
+        op1_byte_bpe,
+        op2_line_dedup,
+        op4_preference_chat,
+        op5_length_packing,
+        op6_media_columns,
+        op9_quality_resampling,
+        op10_token_store,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL, "op4_preference_chat": OP4_SQL}
