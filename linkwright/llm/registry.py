@@ -10,6 +10,8 @@ from .bpe import op1_byte_bpe
 from .chat import OP4_SQL, op4_preference_chat
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .media import op6_media_columns
+from .near_dedup import op7_near_dedup
+from .neighbours import op3_kmeans_tree
 from .packing import op5_length_packing
 from .quality import op9_quality_resampling
 from .token_store import op10_token_store
@@ -19,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_byte_bpe,
         op2_line_dedup,
+        op3_kmeans_tree,
         op4_preference_chat,
         op5_length_packing,
         op6_media_columns,
+        op7_near_dedup,
         op9_quality_resampling,
         op10_token_store,
     )
