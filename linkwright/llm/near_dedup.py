@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, read_table
+from .shared import materialize, read_table, sorted_groups
 
 WORDS = 5
 PERCENT = 75
@@ -165,29 +165,6 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return members.select("key", parts, "node", "n", "sketch")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Consecutive rows with equal first ``keys`` columns, as one table each; input sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        change = np.zeros(batch.num_rows - 1, dtype=bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _maybe_similar(table: pa.Table) -> tuple[list, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
     """Nodes, sizes and, by blocks of lines, (first line, agreeing bytes, allowed pairs)."""
     nodes = table.column("node").to_pylist()
@@ -210,7 +187,7 @@ def propose(rows: DataFrame) -> DataFrame:
     """(a, b): for each class its most similar partner, and the centre of the largest star it lies in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 2):
+        for table in sorted_groups(batches, 2):
             nodes, _, lines = _maybe_similar(table)
             best, agree, degree = (np.zeros(len(nodes), dtype=np.int64) for _ in range(3))
             kept = []
@@ -280,7 +257,7 @@ def across(rows: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 2):
+        for table in sorted_groups(batches, 2):
             roots_here = table.column("root").to_pylist()
             number = {r: k for k, r in enumerate(dict.fromkeys(roots_here))}
             if len(number) < 2:

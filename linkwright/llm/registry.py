@@ -14,6 +14,7 @@ from .near_dedup import op7_near_dedup
 from .neighbours import op3_kmeans_tree
 from .packing import op5_length_packing
 from .quality import op9_quality_resampling
+from .substring_dedup import op8_substring_dedup
 from .token_store import op10_token_store
 
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_length_packing,
         op6_media_columns,
         op7_near_dedup,
+        op8_substring_dedup,
         op9_quality_resampling,
         op10_token_store,
     )
