@@ -125,7 +125,7 @@ def state_of(country: Column, component: Column) -> Column:
 def address_parts(c: Column, country: Column) -> Column:
     """Struct of addr, state and nums of an address: states are taken out, numbers listed once, words canonical."""
     raw = F.when(country == "france", F.translate(c, "°º", "oo")).otherwise(c)
-    kept = F.filter(F.transform(F.split(fold_ascii(raw), ","), F.trim), lambda x: ~x.isin(fixed.NULLISH))
+    kept = F.filter(F.transform(F.split(fold_ascii(raw), ","), lambda x: F.trim(x)), lambda x: ~x.isin(fixed.NULLISH))
     parts = F.transform(kept, lambda x: F.trim(F.regexp_replace(x, fixed.NOT_ALNUM, " ")))
     states = F.filter(F.transform(parts, lambda x: state_of(country, x)), lambda x: x.isNotNull())
     tokens = words(F.array_join(F.transform(words(F.array_join(F.filter(parts, lambda x: state_of(country, x).isNull()), " ")), unglue), " "))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linkage
+from . import linkage, records
 
-MODULES = (linkage,)
+MODULES = (linkage, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
