@@ -157,11 +157,19 @@ def address_text(core: Column, alias: Column, addr: Column, nums: Column) -> Col
     return F.concat_ws(" ", core, alias, addr, F.regexp_replace(nums, r"(\S+)", "#$1"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def char_ngrams(c: Column, n: int) -> Column:
     """Distinct n-grams of the letters and digits; a shorter text is its own."""
-    s = F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    grams = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
-    return F.when(F.length(s) >= n, F.array_distinct(grams)).when(s == "", F.array().cast("array<string>")).otherwise(F.array(s))
+
+    def grams(s: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
+        return F.when(F.length(s) >= n, F.array_distinct(many)).when(s == "", F.array().cast("array<string>")).otherwise(F.array(s))
+
+    return bound(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), grams)
 
 
 def padded_shingles(c: Column, k: int = 3) -> Column:

@@ -69,7 +69,8 @@ def state_table() -> str:
 
 def char_ngrams(x: str, n: int) -> str:
     s = f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
-    return f"CASE WHEN length({s}) >= {n} THEN list_distinct(list_transform(range(1, length({s}) - {n} + 2), lambda i: substr({s}, i, {n}))) WHEN {s} = '' THEN [] ELSE [{s}] END"
+    many = f"list_distinct(list_transform(range(1, length(s) - {n} + 2), lambda i: substr(s, i, {n})))"
+    return f"list_transform([{s}], lambda s: CASE WHEN length(s) >= {n} THEN {many} WHEN s = '' THEN [] ELSE [s] END)[1]"
 
 
 def shingles(x: str, k: int = 3) -> str:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linkage, records
+from . import analysis, linkage, records
 
-MODULES = (linkage, records)
+MODULES = (linkage, records, analysis)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

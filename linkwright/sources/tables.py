@@ -29,7 +29,8 @@ def read_tsv_inferred(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.option("sep", "\t").option("quote", "").option("escapeQuotes", False).option("header", True).mode("overwrite").csv(path)
+    plain = {"sep": "\t", "quote": "", "escapeQuotes": "false", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    df.write.options(header="true", **plain).mode("overwrite").csv(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str, columns=None) -> DataFrame:
