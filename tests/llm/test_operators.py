@@ -1,0 +1,278 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeats, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from linkwright.llm import bpe, chat, components, line_dedup, media, near_dedup, neighbours, packing, quality, substring_dedup, token_store
+from linkwright.llm.suffix_array import common_prefixes, suffix_array
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string, n int, key string, lines string, doc string, root string, place int, size int, rest int"
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "k", "l", "d", "r", 2, 3, 4) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    random.seed(5)
+    words = ["alpha", "beta", "gamma,", "delta.", "été", "日本", "x1", "it's", "\n", "  ", "A!"] + [f"w{k}" for k in range(300)]
+    body = [" ".join(random.choices(words, k=90)) for _ in range(12)]
+    near = [body[0].replace("w1", "zz", 1), body[0] + " tail"]
+    return [None, "", "a", "one two three", *body, *near, body[3], " ".join(random.choices(words, k=9000)), body[4] + "\n" + body[5]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = list(enumerate(texts)) + [(5, texts[5]), (None, texts[6])]
+    return make(spark, rows).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return make(spark, [])
+
+
+def pairs_of(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def test_suffix_array_against_sorting():
+    random.seed(1)
+    for _ in range(500):
+        s = [random.randint(1, random.choice([1, 2, 9])) for _ in range(random.randint(0, 30))] + [0]
+        order = suffix_array(np.array(s))
+        assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        shared = common_prefixes(np.array(s), order)
+        for k in range(1, len(s)):
+            a, b = s[order[k - 1] :], s[order[k] :]
+            n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert shared[k] == n
+
+
+def test_bpe_equals_the_library(spark, docs, empty):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.BytePairCodec(ranks, public_tokenizers.PATTERN, cache_entries=50)
+    random.seed(2)
+    for _ in range(400):
+        t = "".join(random.choices(["a", "é", "日", " ", "  ", "\n", "'s", "12", "!", "the", "　", "😀", "zq"], k=random.randint(0, 30)))
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+        assert codec.decode(codec.encode(t)).decode() == t
+    found = bpe.encode_decode(docs, path, public_tokenizers.PATTERN)
+    wanted = sorted((str(i), hashlib.sha256(np.array(library.encode_ordinary(t), "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in pairs_of(docs))
+    assert sorted((str(r["doc_id"]), r["ids_sha256"], r["decoded_sha256"]) for r in found.collect()) == wanted
+    assert bpe.encode_decode(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_line_dedup(spark, empty):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "a\nb"), (4, None), (5, ""), (6, "\n\n\n\n\n"), (7, "q\nq\nq\nq"), (2, "x\na\nb\nc\ny"), (8, "b\nc\nd\ne\nf")]
+    found = line_dedup.dedup_lines(make(spark, rows), with_counts=True)
+    got = {(r["doc_id"], r["text"], r["n_removed"]) for r in found.collect()}
+    assert got == {(1, "a\nb\nc\nd", 0), (2, "x\ny", 3), (3, "a\nb", 0), (4, None, 0), (5, "", 0), (6, "\n\n\n\n\n", 0), (7, "q", 3), (8, "e\nf", 3)}
+    assert found.columns[: len(empty.columns)] == empty.columns
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_neighbours(spark):
+    random.seed(4)
+    rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(600)]
+    rows += [(1000 + i, [1.0] * 8) for i in range(40)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0, None] * 4), (2004, [1.0] * 3), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("h", F.lit(1)).withColumn("leaf", F.lit(2))
+    found = neighbours.search(df, F.col("id") % 50 == 0, recall=0.97, sample=200, block_rows=32).collect()
+    sound = [(i, np.array(v)) for i, v in rows if i is not None and i < 2000]
+    ids, v = np.array([i for i, _ in sound]), np.array([x for _, x in sound])
+    by = defaultdict(list)
+    for r in sorted(found, key=lambda r: r["rank"]):
+        by[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    queries = [i for i in ids.tolist() if i % 50 == 0]
+    for q in queries:
+        scores = neighbours._cosines(v[ids == q][0], v)
+        scores[ids == q] = -9
+        best = ids[np.lexsort((ids, -scores))[:5]].tolist()
+        hits += len(set(best) & {i for i, _ in by[q]})
+        assert all(s == scores[ids == i][0] for i, s in by[q]) and len(by[q]) == 5
+    assert hits / (5 * len(queries)) >= 0.9
+    assert [i for i, _ in by[1000]] == [1001, 1002, 1003, 1004, 1005]
+    assert neighbours.search(df.limit(0), F.col("id") % 50 == 0).count() == 0
+
+
+def test_chat(spark):
+    turns = [
+        (1, "chosen", 0, "user", "hi"), (1, "chosen", 1, "assistant", "yes"), (1, "rejected", 0, "user", "hi"), (1, "rejected", 1, "assistant", "no"),
+        (2, "chosen", 0, "user", None), (3, "chosen", 0, "user", "same"), (3, "rejected", 0, "user", "same"), (None, "chosen", 0, "user", "x"), (4, "other", 0, "user", "x"),
+    ]
+    found = {r["pair_id"]: r for r in chat.format_preferences(spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string")).collect()}
+    assert set(found) == {1, 2, 3}
+    one = found[1]
+    assert (one["common_turns"], one["prompt"]) == (1, "<|user|>\nhi<|end|>\n")
+    a, b = map(int, one["chosen_mask"].split("-"))
+    assert one["chosen"][a:b] == "yes<|end|>\n" and one["rejected_trained"] == len("no<|end|>\n")
+    assert (found[2]["prompt"], found[2]["chosen"], found[2]["rejected"]) == ("", "<|user|>\n<|end|>\n", "")
+    assert (found[3]["chosen"], found[3]["rejected"], found[3]["chosen_mask"]) == ("", "", "")
+
+
+def test_boundaries_are_optimal():
+    from itertools import combinations
+
+    random.seed(6)
+    for _ in range(40):
+        lengths = sorted(random.sample(range(1, 60), 8))
+        cells = [(n, c := random.randint(1, 9), n * c, n) for n in lengths]
+        cost = lambda tops: sum(c * min(t for t in tops if t >= n) for n, c, _, _ in cells)  # noqa: E731, B023
+        best = min(cost([*x, lengths[-1]]) for k in range(3) for x in combinations(lengths[:-1], k))
+        assert cost(packing.choose_boundaries(cells, 3)) == best
+
+
+def test_packing(spark, docs, empty):
+    found = packing.pack_documents(docs, buckets=3, token_budget=400, slice_rows=4).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in found) == sorted((str(i), len(t.split())) for i, t in pairs_of(docs))
+    batches = defaultdict(list)
+    for r in found:
+        assert r["padding"] == r["bucket_len"] - r["n_tokens"] >= 0
+        batches[r["bucket"], r["batch"]].append(r)
+    for rows in batches.values():
+        assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+        assert len(rows) == 1 or len(rows) * rows[0]["bucket_len"] <= 400
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_media(spark, docs, empty):
+    index = media.write_media(docs)
+    assert index.groupBy("digest").count().where("count > 1").count() == 0
+    rows = media.media_rows(docs, media.add_features(index)).collect()
+    wanted = sorted((str(i), len(t.encode()), hashlib.sha256(media.payload_of(t)).hexdigest(), zlib.crc32(media.payload_of(t)[-32:])) for i, t in pairs_of(docs))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == wanted
+    assert all(r["digest"] == r["payload_sha256"] for r in rows)
+    heights = {r["digest"]: r["height"] for r in media.add_metadata(index).collect()}
+    assert all(heights[r["digest"]] * media.LINE == r["payload_bytes"] for r in rows)
+    assert media.write_media(empty).count() == 0
+
+
+def _shingles(t):
+    w = tuple(t.encode().lower().split())
+    return frozenset(w[i : i + 5] for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def test_near_duplicates(spark, docs, empty):
+    rows = pairs_of(docs)
+    sets = [_shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            groups[find(i)].append(d)
+    wanted = sorted(
+        (str(d), len(sets[i]), str(min(groups[find(i)], default=None)) if sets[i] else str(d)) for i, (d, _) in enumerate(rows)
+    )
+    found = near_dedup.near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found) == wanted
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5)], "a long, b long")
+    found = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7}
+
+
+@pytest.mark.parametrize("group", [substring_dedup.GROUP, 1])
+def test_substrings(spark, group):
+    random.seed(8)
+    fill = lambda n: "".join(random.choices("abcdefgh é", k=n))
+    passage, other = fill(500), fill(450)
+    texts = [fill(300) + passage + fill(100), passage + fill(700), None, "", fill(399), fill(900), other + fill(30) + other, "ab" * 600, fill(80) + passage[20:480] + fill(90)]
+    texts += [texts[5]]
+    rows = list(enumerate(texts))
+    df = make(spark, rows)
+    count = defaultdict(int)
+    data = [(t or "").encode() for t in texts]
+    for b in data:
+        for i in range(len(b) - 399):
+            count[b[i : i + 400]] += 1
+    spans = substring_dedup.repeated_spans(df, group=group)
+    cut = {(r["key"], r["size"]): r["spans"] for r in spans.collect()}
+    keys = [(r["key"], r["size"]) for r in substring_dedup.keyed(df, "text").collect()]
+    for k, b in zip(keys, data):
+        bad = np.zeros(len(b), dtype=bool)
+        for i in range(len(b) - 399):
+            if count[b[i : i + 400]] > 1:
+                bad[i : i + 400] = True
+        got = np.zeros(len(b), dtype=bool)
+        for s in cut.get(k, []):
+            got[s["a"] : s["b"]] = True
+        assert (got == bad).all()
+    if group > 1:
+        kept = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(df).collect()}
+        assert kept[2] is None and kept[3] == "" and kept[5] == kept[9] == "" and kept[4] == texts[4]
+        assert substring_dedup.substring_report(df.limit(0)).count() == 0
+
+
+def test_quality(spark, empty):
+    random.seed(9)
+    good, bad = [f"g{k}" for k in range(80)], [f"b{k}!!" for k in range(80)]
+    rows = [(i, " ".join(random.choices(bad if i % 5 == 0 else good, k=40))) for i in range(400)] + [(400, None), (401, ""), (7, "g1 g2")]
+    labels = spark.createDataFrame([(i, 0 if i % 5 == 0 else 1) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    found = {r["doc_id"]: r for r in quality.resample(make(spark, rows), labels).collect()}
+    assert all(found[i]["kept"] == (i % 5 != 0) for i in range(200, 400)) and found[400]["log_weight"] == 0
+    assert quality.select_rows(make(spark, rows), labels).columns == empty.columns
+    assert quality.resample(empty, labels).count() == 0
+    values = [random.choice([1.0, 2.5, -3.0, random.random()]) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 7, 150, 300):
+        assert quality.kth_largest(df, "v", k, bins=4, last=5) == sorted(values, reverse=True)[k - 1]
+
+
+def test_token_store(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    manifest = token_store.write_tokens(docs, path, shards=3, file_ids=2000)
+    found = token_store.read_tokens(manifest).collect()
+    wanted = sorted((str(i), len(ids := library.encode(t, add_special_tokens=False).ids + [0]), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in pairs_of(docs))
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in found) == wanted
+    at = 0
+    for r in sorted(found, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ordered = [r["doc_id"] for r in sorted(found, key=lambda r: r["start"]) if r["doc_id"] is not None]
+    assert ordered == sorted(ordered)
+    assert token_store.read_tokens(token_store.write_tokens(empty, path)).count() == 0
+
+
+def test_addressable_codes():
+    random.seed(3)
+    for high in (1, 200, 70_000, 1 << 31):
+        ids = np.array([random.randrange(high) for _ in range(3000)], dtype=np.uint32)
+        levels = token_store.build_levels(ids)
+        assert (token_store.read_ids(levels, 0, len(ids)) == ids).all()
+        for i in random.sample(range(3000), 50):
+            assert token_store.read_ids(levels, i, 1)[0] == ids[i]
+        assert (token_store.read_ids(levels, 513, 77) == ids[513:590]).all()
