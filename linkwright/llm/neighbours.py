@@ -27,13 +27,12 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table
+from .shared import materialize, read_table, sorted_groups
 
 SAMPLE = 16_384
 BRANCHING = 12
@@ -121,7 +120,10 @@ def _kmeans(rows: np.ndarray, k: int, random: np.random.Generator, rounds: int =
 
 
 def _unit(vectors: list) -> np.ndarray:
-    rows = np.array(vectors, dtype=np.float64)
+    return _rows_to_unit(np.array(vectors, dtype=np.float64))
+
+
+def _rows_to_unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
@@ -135,6 +137,30 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def _block_best(ids: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, id, score) of at least the ``k`` best rows of each query; scores are exact."""
+    rough = _rows_to_unit(queries) @ _rows_to_unit(rows).T
+    rough[asked[:, None] == ids[None]] = -np.inf
+    floor = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(asked), -2.0)
+    q, r = np.nonzero((rough >= floor[:, None] - 1e-9) & (rough > -np.inf))
+    a, b = queries[q], rows[r]
+    scores = (b * a).sum(axis=1) / (np.sqrt((b * b).sum(axis=1)) * np.sqrt((a * a).sum(axis=1)))
+    return _prune([(asked[q], ids[r], scores)], k)
+
+
+def _prune(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    query, ids, scores = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    start = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.empty(0, dtype=np.int64)
+    place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+    return query[place < k], ids[place < k], scores[place < k]
+
+
+def _best_batch(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["query_id", "id", "score"])
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """Rows that take part: id and vector (array of double)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(
@@ -208,26 +234,31 @@ def search(
         "rb", F.explode(F.sequence(F.lit(0), blocks_of - 1))
     )
 
-    def meet(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(vectors) and len(asked):
-            ids, v = vectors["id"].to_numpy(), np.array(vectors["v"].tolist(), dtype=np.float64)
-            units, q = _unit(v), np.array(asked["v"].tolist(), dtype=np.float64)
-            rough = _unit(q) @ units.T
-            for key, query, line in zip(asked["id"], q, rough):
-                other = ids != key
-                if not other.any():
-                    continue
-                values = line[other]
-                floor = np.partition(values, len(values) - k)[len(values) - k] if len(values) > k else -np.inf
-                near = np.flatnonzero(other)[values >= floor - 1e-9]
-                exact = _cosines(query, v[near])
-                best = _best(ids[near], exact, k)
-                out.append(pd.DataFrame({"query_id": key, "id": ids[near][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-
-    keys = ["leaf", "rb", "qb"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, id long, score double")
+    dealt = left.withColumn("asks", F.lit(False)).unionByName(right.withColumn("asks", F.lit(True)))
+    dealt = dealt.select("leaf", "rb", "qb", "asks", "id", "v").repartition(width, "leaf", "rb", "qb").sortWithinPartitions("leaf", "rb", "qb", "asks", "id")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's best for its queries; a query's results from the blocks of a task are merged before they leave it."""
+        held, size = [], 0
+        for group in sorted_groups(batches, 3):
+            asks = group.column("asks").to_numpy()
+            first = int(len(asks) - asks.sum())
+            if first == 0 or first == len(asks):
+                continue
+            ids = group.column("id").to_numpy()
+            v = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            held.append(_block_best(ids[:first], v[:first], ids[first:], v[first:], k))
+            size += len(held[-1][0])
+            if size >= 200_000:
+                held = [_prune(held, k)]
+                size = len(held[0][0])
+                if size >= 150_000:
+                    yield _best_batch(held[0])
+                    held, size = [], 0
+        if held:
+            yield _best_batch(_prune(held, k))
+
+    near = dealt.mapInArrow(meet, "query_id long, id long, score double")
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
