@@ -15,10 +15,11 @@ if it agrees on ``AGREE`` bytes (a pair at 0.75 falls short with probability
 3e-6) and its set sizes allow it. No pairs of a bucket are listed. First each
 class proposes its best partner and the centre of its bucket; these are confirmed
 on full shingle sets and joined to components. Then, for each class that may be
-similar to a class of another component, one row (class, component) is emitted,
-and the class is compared, exactly, with all members of that component through an
-inverted index. So no link between components is lost, and a group of thousands
-of near copies costs rows in proportion to its size.
+similar to a class of another component, each bucket emits one list of those
+components; the lists of a class are merged, and the class is compared, exactly,
+with all members of each component through an inverted index. So no link between
+components is lost. Classes of a large group of near copies that join nothing are
+compared with each other; their rows are (class, component) pairs, dealt in blocks.
 
 Bounds: buckets and components are dealt in blocks of ``BLOCK`` rows, so a task
 holds two blocks at most; a bucket of more rows meets itself block by block.
@@ -57,7 +58,7 @@ BITS = 32
 SKETCH = 128
 AGREE = 73
 BLOCK = 4_096
-COMPARE_BLOCK = 1_500
+COMPARE_BLOCK = 1_000
 
 _RANDOM = np.random.default_rng(2024)
 _FACTORS = _RANDOM.integers(1, 1 << 63, size=SYMBOLS + SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -67,7 +68,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 700_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -267,16 +268,26 @@ def across(rows: DataFrame, roots: DataFrame) -> DataFrame:
             names = list(number)
             order = np.array([sorted(names).index(r) for r in names])[label] if len(names) < 64 else np.argsort(np.argsort(np.array(names, dtype=object)))[label]
             nodes, _, lines = _maybe_similar(table)
-            out = set()
+            found: list[np.ndarray] = []
             for start, _, fits in lines:
                 part = slice(start, start + len(fits))
                 asks = (size[part, None] < size[None]) | ((size[part, None] == size[None]) & (order[part, None] > order[None]))
-                for i, j in zip(*np.nonzero(fits & asks & (label[part, None] != label[None]))):
-                    out.add((nodes[start + i], names[label[j]]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in zip(*out)], names=["node", "root"])
+                i, j = np.nonzero(fits & asks & (label[part, None] != label[None]))
+                found.append(np.unique((i + start) * len(names) + label[j]))
+            pairs = np.concatenate(found)
+            if len(pairs):
+                asker, root = np.divmod(pairs, len(names))
+                cut = np.flatnonzero(np.diff(asker)) + 1
+                lists = [[names[r] for r in part] for part in np.split(root, cut)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([nodes[i] for i in asker[np.concatenate([[0], cut])]], type=pa.binary()), pa.array(lists, type=pa.list_(pa.binary()))],
+                    names=["node", "roots"],
+                )
 
-    return _dealt(joined).mapInArrow(run, "node binary, root binary").distinct()
+    # A class's lists from all its buckets are merged before they become rows.
+    lists = _dealt(joined).mapInArrow(run, "node binary, roots array<binary>")
+    merged = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
+    return merged.select("node", F.explode("roots").alias("root"))
 
 
 def confirm_across(asked: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
