@@ -159,6 +159,17 @@ class TokenFile:
         first, end = int(self.offsets[k]), int(self.offsets[k + 1])
         return self.ids(first, end - first)
 
+    def checksums(self, ids_at_once: int = 1 << 20) -> Iterator[int]:
+        """CRC-32 of each document's ids as little-endian unsigned 32-bit integers."""
+        first = 0
+        while first < self.n_docs:
+            last = max(int(np.searchsorted(self.offsets, self.offsets[first] + np.uint64(ids_at_once), "right")) - 1, first + 1)
+            start = int(self.offsets[first])
+            held = memoryview(self.ids(start, int(self.offsets[last]) - start).astype("<u4").tobytes())
+            for k in range(first, last):
+                yield zlib.crc32(held[4 * (int(self.offsets[k]) - start) : 4 * (int(self.offsets[k + 1]) - start)])
+            first = last
+
     def close(self) -> None:
         self.file.close()
 
@@ -187,41 +198,51 @@ class LibraryEncoder:
         self.width = "<u2" if len(self.sizes) <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
+        self.marks = {mark: self.whole(mark) for mark in ".,"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > self.cache_entries:
-            self.cache.clear()
-        for k in range(0, len(words), 8192):
-            part = words[k : k + 8192]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype=self.width)
+        """Add chunks to the cache. A letter and a full stop or comma at a chunk's end are always
+        two pieces, so such a chunk is put together from its word and the mark."""
+        cache = self.cache
+        bases = {w: w[:-1] for w in words if w[-1] in self.marks and w[-2:-1].isalpha()}
+        new = [w for w in {bases.get(w, w) for w in words} if w not in cache]
+        for k in range(0, len(new), 8192):
+            part = new[k : k + 8192]
+            (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.width)
             ends = np.cumsum(self.sizes[ids])
             wanted = np.cumsum([len(w.encode()) + 1 for w in part])
             cuts = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[cuts], wanted):
                 raise ValueError("a chunk does not end at a token")
-            first = 0
-            for word, cut in zip(part, cuts.tolist()):
-                self.cache[word] = ids[first : cut + 1].tobytes()
-                first = cut + 1
+            packed, width, first = ids.tobytes(), ids.itemsize, 0
+            for word, cut in zip(part, ((cuts + 1) * width).tolist()):
+                cache[word] = packed[first:cut]
+                first = cut
+        for word, base in bases.items():
+            cache[word] = cache[base] + self.marks[word[-1]]
 
     def group(self, texts: list[str]) -> list[bytes]:
         cut = [text.split(" ") if text and cuttable(text) else None for text in texts]
-        words = set().union(*(parts[1:] for parts in cut if parts)) - {""}
-        if new := [w for w in words if w not in self.cache]:
-            if len(self.cache) + len(new) > self.cache_entries:
-                new = list(words)
-            self.learn(new)
+        heads = [parts.pop(0) if parts else "" for parts in cut]
+        words = set().union(*filter(None, cut))
+        words.discard("")
         cache = self.cache
+        if new := words.difference(cache):
+            if len(cache) + len(new) > self.cache_entries:
+                cache.clear()
+                new = words
+            self.learn(list(new))
         cache[""] = self.whole(" ")
         return [
-            (self.whole(text) if text else b"") if parts is None else self.whole(parts[0]) + b"".join([cache[w] for w in parts[1:]])
-            for text, parts in zip(texts, cut)
+            (self.whole(text) if text else b"") if parts is None else self.whole(head) + b"".join(map(cache.__getitem__, parts))
+            for text, head, parts in zip(texts, heads, cut)
         ]
 
-    def encode_all(self, texts: Iterator[str], chars: int = 1 << 20) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterator[str], chars: int = 1 << 21) -> Iterator[bytes]:
         """Ids of each text in turn; about ``chars`` characters are in work at a time."""
         waiting: list[str] = []
         counts: list[int] = []
@@ -371,7 +392,7 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 file = TokenFile(path)
                 counts = np.diff(file.offsets.astype(np.int64))
-                sums = [zlib.crc32(file.document(k).astype("<u4").tobytes()) for k in range(file.n_docs)]
+                sums = list(file.checksums())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(file.doc_ids.astype(np.int64), mask=file.valid == 0),
