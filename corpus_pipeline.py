@@ -19,6 +19,9 @@ from linkwright.llm.quality import select_rows
 from linkwright.llm.shared import materialize, read_table
 from linkwright.llm.substring_dedup import remove_repeats
 
+#: A passage of over 50 words is a repeat, however few bytes it has.
+PASSAGE_WORDS = 51
+
 #: No stage after the first can be put in SQL alone: models, min-hashes and the optimal buckets are not SQL.
 ORACLE_SQL = None
 
@@ -44,8 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long byte strings that stand elsewhere too go; documents stay."""
-    return _recount(remove_repeats(docs))
+    """Byte strings of 400 bytes or of over 50 words that stand elsewhere too go; documents stay."""
+    return _recount(remove_repeats(docs, words=PASSAGE_WORDS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

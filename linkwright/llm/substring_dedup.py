@@ -14,6 +14,9 @@ removed. How the work is spread:
    followed by equal text, and inside each run the windows are compared.
 4. Covered stretches are merged for each text and taken out of it.
 
+``remove_repeats`` can also take out repeats of a number of words that are shorter than ``LENGTH``
+bytes: its windows then start at words (``Words``) and go through the same steps.
+
 Groups too large for one suffix array are compared by window hashes in their task; those of
 more than ``GROUP`` contexts do not go to one task: their windows are
 dealt by hash and counted, after each task has combined its own (``oversized``).
@@ -31,6 +34,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,9 +47,6 @@ from .shared import materialize, read_table, sorted_groups
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 400
-ANCHOR = 128
-PHRASE_GRAM = 16
-PHRASE_WINDOW = 64
 GROUP = 32_768
 SEGMENT = 1 << 19
 BATCH_BYTES = 1 << 20  # of contexts in one suffix array
@@ -102,6 +103,84 @@ def owners(hasher: Hasher, size: int, gram: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _LOW).astype(np.int64)
 
 
+def least_within(key: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The least of ``key[start:end]`` for every stretch; none is empty."""
+    level = np.frexp((ends - starts).astype(np.float64))[1] - 1  # the largest power of two that fits
+    out = np.empty(len(starts), dtype=key.dtype)
+    for k in range(int(level.max(initial=-1)) + 1):
+        if k:
+            key = np.minimum(key[: -(1 << (k - 1))], key[1 << (k - 1) :])
+        here = level == k
+        out[here] = np.minimum(key[starts[here]], key[ends[here] - (1 << k)])
+    return out
+
+
+@dataclass(frozen=True)
+class Bytes:
+    """Windows of ``LENGTH`` bytes, one at every byte."""
+
+    least: int = LENGTH  # bytes of the shortest window
+    anchor: int = 128
+    gram: int = 16
+    phrase: int = 64
+
+    def windows(self, data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, ascending, of the windows inside the parts of ``data`` that ``base`` bounds."""
+        starts = np.concatenate([np.arange(a, max(a, b - LENGTH + 1)) for a, b in zip(base[:-1].tolist(), base[1:].tolist())])
+        return starts, starts + LENGTH
+
+    def owners(self, hasher: Hasher, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """As ``owners``, for the windows of one text."""
+        return owners(hasher, LENGTH, self.anchor)
+
+
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_LETTER = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
+
+
+@dataclass(frozen=True)
+class Words:
+    """Windows of ``words`` words (runs of bytes that are not white space) of fewer than ``LENGTH`` bytes, one at every word.
+
+    Marks before the letters of the first word and behind those of the last are left out. Longer ones are made of ``Bytes`` windows.
+    """
+
+    words: int
+    gram: int = 8
+    phrase: int = 16
+
+    @property
+    def least(self) -> int:
+        return 2 * self.words - 1
+
+    @property
+    def anchor(self) -> int:
+        return max(self.least * 5 // 8, 1)
+
+    def windows(self, data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[base] = True
+        space = _SPACE[data]
+        before, behind = edge[:-1].copy(), edge[1:].copy()
+        before[1:] |= space[:-1]
+        behind[:-1] |= space[1:]
+        first, last = np.flatnonzero(~space & before), np.flatnonzero(~space & behind) + 1
+        if len(first) < self.words:
+            return (np.empty(0, dtype=np.int64),) * 2
+        letters = np.flatnonzero(_LETTER[data])
+        a, b = np.searchsorted(letters, first), np.searchsorted(letters, last)
+        some = b > a
+        starts, ends = first.copy(), last.copy()
+        starts[some], ends[some] = letters[a[some]], letters[b[some] - 1] + 1
+        starts, ends = starts[: len(first) - self.words + 1], ends[self.words - 1 :]
+        inside = (ends - starts < LENGTH) & (ends <= base[np.searchsorted(base, starts, "right")])
+        return starts[inside], ends[inside]
+
+    def owners(self, hasher: Hasher, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = hasher.every(self.anchor)
+        return (least_within((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), starts, ends - self.anchor + 1) & _LOW).astype(np.int64)
+
+
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of stretches as maximal ones."""
     if not len(starts):
@@ -112,18 +191,23 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
 
 
-def contexts(data: bytes) -> tuple[np.ndarray, ...]:
+def contexts(data: bytes, rule: Bytes | Words) -> tuple[np.ndarray, ...]:
     """(anchor, context, start, end, offset of the anchor) of the stretches of windows of one text."""
     found = []
-    for x in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT):
-        part = np.frombuffer(data[x : x + SEGMENT + LENGTH - 1], dtype=np.uint8)
-        hasher = Hasher(part)
-        owner = owners(hasher, LENGTH, ANCHOR)
+    whole = np.frombuffer(data, dtype=np.uint8)
+    first, last = rule.windows(whole, np.array([0, len(data)])) if len(data) >= rule.least else (np.empty(0, dtype=np.int64),) * 2
+    for x in range(0, len(data) if len(first) else 0, SEGMENT):
+        own = slice(*np.searchsorted(first, [x, x + SEGMENT]))
+        if own.start == own.stop:
+            continue
+        begin, end = first[own] - x, last[own] - x
+        hasher = Hasher(whole[x : x + SEGMENT + LENGTH - 1])
+        owner = rule.owners(hasher, begin, end)
         cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(owner)]]) - 1 + LENGTH
-        at = owner[starts]
+        starts, ends = begin[np.concatenate([[0], cut])], end[np.concatenate([cut, [len(owner)]]) - 1]
+        at = owner[np.concatenate([[0], cut])]
         offset = at - starts
-        anchor = hasher.stretch(at, at + ANCHOR)
+        anchor = hasher.stretch(at, at + rule.anchor)
         context = _mix(hasher.stretch(starts, ends) + offset.astype(np.uint64))
         found.append((anchor, context, starts + x, ends + x, offset))
     if not found:
@@ -140,7 +224,7 @@ ANCHORS = "f long, c long, n int, key long, size long, place long"
 _START, _SIZE, _OFFSET = "shiftright(place, 24)", "shiftright(place, 12) & 4095", "place & 4095"
 
 
-def list_anchors(texts: DataFrame) -> DataFrame:
+def list_anchors(texts: DataFrame, rule: Bytes | Words) -> DataFrame:
     """``texts``: key, size, text. One row for each context of a text; f is null for a stretch that its own text repeats.
 
     A task skips a text from its third occurrence on: two make everything in it a repeat.
@@ -165,7 +249,7 @@ def list_anchors(texts: DataFrame) -> DataFrame:
                     seen[keys[who], sizes[who]] += 1
                     if seen[keys[who], sizes[who]] > 2:
                         continue
-                    f, c, a, b, offset = contexts(batch.column(2)[who].as_py().encode())
+                    f, c, a, b, offset = contexts(batch.column(2)[who].as_py().encode(), rule)
                     both, index, inverse, count = np.unique(np.stack([f, c]), axis=1, return_index=True, return_inverse=True, return_counts=True)
                     if (count > 1).any():
                         own = count[inverse] > 1
@@ -215,11 +299,8 @@ def _fold(anchors: DataFrame, rows: int = 400_000) -> DataFrame:
     return anchors.where(F.col("f").isNotNull()).mapInArrow(run, ANCHORS).repartition(width, "f")
 
 
-def match_contexts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ``table`` (f, n, size, data) and stretches (start, end) in them that other contexts repeat.
-
-    ``size`` is the number of windows a context owns; ``data`` its bytes.
-    """
+def match_contexts(table: pa.Table, rule: Bytes | Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``table`` (f, n, data) and stretches (start, end) in them that other contexts repeat; ``data``: the bytes of a context."""
     parts = table.column("data").to_pylist()
     lengths = np.array([len(p) for p in parts])
     base = np.concatenate([[0], np.cumsum(lengths)])
@@ -227,8 +308,9 @@ def match_contexts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     hasher = Hasher(data)
     inside = np.repeat(base[1:], lengths)  # end of the context that holds a byte
 
-    owner = owners(hasher, PHRASE_WINDOW + PHRASE_GRAM - 1, PHRASE_GRAM)
-    whole = np.arange(len(owner)) + PHRASE_WINDOW + PHRASE_GRAM - 1 <= inside[: len(owner)]
+    span = rule.phrase + rule.gram - 1
+    owner = owners(hasher, span, rule.gram)
+    whole = np.arange(len(owner)) + span <= inside[: len(owner)]
     cuts = np.unique(owner[whole])
     if not len(cuts):
         return (np.empty(0, dtype=np.int64),) * 3
@@ -248,7 +330,7 @@ def match_contexts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     bytes_shared = np.where(shared > 0, at[np.minimum(order + shared, len(cuts))] - at[order], 0)
 
     # Runs of suffixes that share the bytes any two equal windows share between their own cuts.
-    least = LENGTH - 2 * PHRASE_WINDOW - PHRASE_GRAM + 2
+    least = rule.least - 2 * rule.phrase - rule.gram + 2
     run_of_rank = np.cumsum(bytes_shared < least)
     run = np.empty(len(order), dtype=np.int64)
     run[order] = run_of_rank
@@ -256,54 +338,55 @@ def match_contexts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     sizes = np.bincount(run)
 
     # Each window belongs to the cut that owns its beginning; windows of one run are compared by all their bytes.
-    windows = np.concatenate([np.arange(b, b + k) for b, k in zip(base.tolist(), table.column("size").to_pylist())])
-    cut = np.searchsorted(cuts, owner[windows])
-    windows, its_run = windows[sizes[run[cut]] > 1], run[cut][sizes[run[cut]] > 1]
+    windows, ends = rule.windows(data, base)
+    its_run = run[np.searchsorted(cuts, owner[windows])]
+    met = sizes[its_run] > 1
+    windows, ends, its_run = windows[met], ends[met], its_run[met]
     if not len(windows):
         return (np.empty(0, dtype=np.int64),) * 3
-    h = hasher.stretch(windows, windows + LENGTH)
+    h = hasher.stretch(windows, ends)
     by = np.lexsort((h, its_run))
     same = (h[by][1:] == h[by][:-1]) & (its_run[by][1:] == its_run[by][:-1])
     hit = np.zeros(len(windows), dtype=bool)
     hit[by] = np.append(same, False) | np.concatenate([[False], same])
-    starts, ends = merge_windows(np.sort(windows[hit]), base)
+    starts, ends = merge_windows(windows[hit], ends[hit], base)
     row = np.searchsorted(base, starts, "right") - 1
     return row, starts - base[row], ends - base[row]
 
 
-def merge_windows(starts: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretches of consecutive windows, never across contexts."""
+def merge_windows(starts: np.ndarray, ends: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of ascending windows as stretches, never across contexts."""
     if not len(starts):
-        return starts, starts
+        return starts, ends
     owner = np.searchsorted(base, starts, "right")
-    new = np.concatenate([[True], (np.diff(starts) > 1) | (np.diff(owner) > 0)])
-    return starts[new], starts[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])] + LENGTH
+    new = np.concatenate([[True], (starts[1:] > ends[:-1]) | (np.diff(owner) > 0)])
+    return starts[new], ends[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
 
 
 def fetch(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """Bytes of the wanted contexts: f, c, n, size (windows), data. ``wanted``: f, c, n, key, size, place."""
+    """Bytes of the wanted contexts: f, c, n, data. ``wanted``: f, c, n, key, size, place."""
     lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct("f", "c", "n", F.expr(f"{_START} AS a"), F.expr(f"{_SIZE} AS k"))).alias("list"))
     once = texts.dropDuplicates(["key", "size"])
     met = once.join(lists, ["key", "size"]).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             for first in range(0, batch.num_rows, 128):
                 rows = []
                 for text, items in zip(batch.column(0).slice(first, 128), batch.column(1).slice(first, 128).to_pylist()):
                     data = text.as_py().encode()
-                    rows += [(x["f"], x["c"], x["n"], x["k"] - LENGTH + 1, data[x["a"] : x["a"] + x["k"]]) for x in items]
+                    rows += [(x["f"], x["c"], x["n"], data[x["a"] : x["a"] + x["k"]]) for x in items]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["f", "c", "n", "size", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["f", "c", "n", "data"])
 
-    return met.mapInArrow(run, "f long, c long, n int, size int, data binary")
+    return met.mapInArrow(run, "f long, c long, n int, data binary")
 
 
 MATCHES = "f long, c long, a int, b int"
 
 
-def match_groups(found: DataFrame) -> DataFrame:
+def match_groups(found: DataFrame, rule: Bytes | Words) -> DataFrame:
     """(f, c, a, b): stretches of contexts that another context of their anchor repeats; several groups share a suffix array."""
     width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -320,52 +403,54 @@ def match_groups(found: DataFrame) -> DataFrame:
             own = pc.sum(pc.binary_length(group.column("data"))).as_py()
             if held and size + own > BATCH_BYTES - 1:
                 table = pa.concat_tables(held)
-                yield result(table, *match_contexts(table))
+                yield result(table, *match_contexts(table, rule))
                 held, size = [], 0
             if own > BATCH_BYTES - 1:
-                yield result(group, *match_large(group))
+                yield result(group, *match_large(group, rule))
             else:
                 held.append(group)
                 size += own
         if held:
             table = pa.concat_tables(held)
-            yield result(table, *match_contexts(table))
+            yield result(table, *match_contexts(table, rule))
 
     return found.repartition(width, "f").sortWithinPartitions("f", "c").mapInArrow(run, MATCHES)
 
 
-def match_large(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def match_large(table: pa.Table, rule: Bytes | Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As ``match_contexts`` for one group beyond the hasher's limit: its windows are compared by hash at once."""
-    data, sizes = table.column("data").to_pylist(), table.column("size").to_numpy().astype(np.int64)
-    hashes = [Hasher(np.frombuffer(d, dtype=np.uint8)).every(LENGTH)[:k] for d, k in zip(data, sizes.tolist())]
-    base = np.concatenate([[0], np.cumsum(sizes)])
-    h = np.concatenate(hashes)
+    parts = [np.frombuffer(d, dtype=np.uint8) for d in table.column("data").to_pylist()]
+    base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    found = [rule.windows(p, np.array([0, len(p)])) for p in parts]
+    h = np.concatenate([Hasher(p).stretch(*w) for p, w in zip(parts, found)])
+    starts, ends = (np.concatenate([w[k] + b for w, b in zip(found, base.tolist())]) for k in (0, 1))
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     hit = np.zeros(len(h), dtype=bool)
     hit[order] = np.append(same, False) | np.concatenate([[False], same])
-    starts, ends = merge_windows(np.flatnonzero(hit), base)
+    starts, ends = merge_windows(starts[hit], ends[hit], base)
     row = np.searchsorted(base, starts, "right") - 1
     return row, starts - base[row], ends - base[row]
 
 
-def oversized(found: DataFrame) -> DataFrame:
+def oversized(found: DataFrame, rule: Bytes | Words) -> DataFrame:
     """The same result for groups that are too large for a task: windows are dealt by hash and counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                hasher = Hasher(np.frombuffer(row["data"], dtype=np.uint8))
-                h = hasher.every(LENGTH)[: row["size"]]
+                data = np.frombuffer(row["data"], dtype=np.uint8)
+                starts, ends = rule.windows(data, np.array([0, len(data)]))
+                h = Hasher(data).stretch(starts, ends)
                 n = len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array([row["f"]] * n), pa.array([row["c"]] * n), pa.array(np.arange(n, dtype=np.int32))],
-                    names=["h", "f", "c", "a"],
+                    [pa.array(h.view(np.int64)), pa.array([row["f"]] * n), pa.array([row["c"]] * n), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))],
+                    names=["h", "f", "c", "a", "b"],
                 )
 
-    windows = found.mapInArrow(run, "h long, f long, c long, a int")
+    windows = found.mapInArrow(run, MATCHES.replace("f", "h long, f", 1))
     twice = windows.groupBy("h", "f").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).drop("m")
-    return windows.join(twice, ["h", "f"]).select("f", "c", "a", (F.col("a") + LENGTH).alias("b"))
+    return windows.join(twice, ["h", "f"]).select("f", "c", "a", "b")
 
 
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
@@ -373,10 +458,10 @@ def keyed(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
 
 
-def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP) -> DataFrame:
+def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP, rule: Bytes | Words = Bytes()) -> DataFrame:
     """(key, size, spans): merged covered stretches of each text that has any; key and size identify a text."""
-    texts = keyed(df, text_col).where(F.col("size") >= LENGTH)
-    anchors = materialize(list_anchors(texts), "anchors")
+    texts = keyed(df, text_col).where(F.col("size") >= rule.least)
+    anchors = materialize(list_anchors(texts, rule), "anchors")
     folded = _fold(anchors).groupBy("f", "c").agg(
         F.sum("n").alias("n"), F.min(F.struct("key", "size", "place")).alias("rep")
     )
@@ -386,9 +471,9 @@ def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP) ->
 
     mixed = fetch(repeated.where((F.col("variants") > 1) & (F.col("single") > 0) & (F.col("variants") <= group)).drop("variants", "single"), texts)
     large = repeated.where((F.col("variants") > group) & (F.col("single") > 0)).drop("variants", "single")
-    matched = materialize(match_groups(mixed), "matched")
+    matched = materialize(match_groups(mixed, rule), "matched")
     if large.limit(1).count():
-        matched = matched.unionByName(materialize(oversized(fetch(large, texts)), "matched-large"))
+        matched = matched.unionByName(materialize(oversized(fetch(large, texts), rule), "matched-large"))
     whole = repeated.where(F.col("n") > 1).select("f", "c", F.lit(0).alias("a"), F.lit(-1).alias("b"))
     stretches = whole.unionByName(matched).groupBy("f", "c").agg(F.collect_set(F.struct("a", "b")).alias("s"))
 
@@ -402,7 +487,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP) ->
 
 def apply_spans(df: DataFrame, spans: DataFrame, text_col: str, schema: str, finish) -> DataFrame:
     """Each distinct text that has spans, cut: key, size and the columns ``finish`` makes of (text bytes, kept, starts, ends)."""
-    texts = keyed(df, text_col).where(F.col("size") >= LENGTH).dropDuplicates(["key", "size"])
+    texts = keyed(df, text_col).dropDuplicates(["key", "size"])
     met = texts.join(spans, ["key", "size"]).select(
         "key", "size", "text", F.transform("spans", lambda x: x["a"]).alias("a"), F.transform("spans", lambda x: x["b"]).alias("b")
     )
@@ -444,9 +529,15 @@ def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the repeated bytes taken out of ``text_col``; bytes of characters that a cut divides go too."""
+def remove_repeats(df: DataFrame, text_col: str = "text", words: int = 0) -> DataFrame:
+    """``df`` with the repeated bytes taken out of ``text_col``; bytes of characters that a cut divides go too.
+
+    With ``words``, a repeat of that many words or more is taken out too, however few bytes it has.
+    """
     spans = materialize(repeated_spans(df, text_col), "spans")
+    if words:
+        shorter = materialize(repeated_spans(df, text_col, rule=Words(words)), "spans-words")
+        spans = spans.unionByName(shorter).groupBy("key", "size").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = apply_spans(df, spans, text_col, "kept_text string", lambda data, kept, a, b: (kept.decode("utf-8", "ignore"),))
     cut = cut.toDF("cut_key_", "cut_size_", "cut_text_")
     text = F.coalesce(F.col(text_col), F.lit(""))

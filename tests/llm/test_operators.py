@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -233,6 +234,60 @@ def test_substrings(spark, group):
         assert substring_dedup.substring_report(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [substring_dedup.GROUP, 1])
+def test_substrings_of_words(spark, group):
+    """Passages of over 50 words under 400 bytes; those of 50 words and shorter ones stay."""
+    random.seed(11)
+    word = lambda: "".join(random.choices("abcdefgh", k=random.randint(1, 8))) + random.choice(["", "", "", "é", ","])
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, fifty, tiny, long = prose(51).strip(","), prose(50).strip(","), " ".join("a" * 51), prose(90).strip(",")
+    assert len(passage.encode()) < 400 and len(tiny) == 101
+    texts = [
+        prose(30) + " " + passage + " " + prose(20), prose(9) + "\n(" + passage + ").\n" + prose(70), prose(60) + " " + fifty + " " + prose(9), fifty + " " + prose(80),
+        tiny, prose(3) + " " + tiny + "\t" + prose(4), None, "", prose(200), long + " " + prose(5), prose(5) + " " + long, prose(8) + " " + long[20:-20] + " " + prose(3),
+        passage + " " + prose(12), prose(4) + " " + fifty + "x " + prose(70),
+    ]
+    texts += [texts[8]]
+    df = make(spark, list(enumerate(texts)))
+    words = [[m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", (t or "").encode())] for t in texts]
+    count, places = defaultdict(int), []
+    for t, found in zip(texts, words):
+        b = (t or "").encode()
+        ends = [(x + len(b[x:y]) - len(b[x:y].lstrip(b"(),.")), x + len(b[x:y].rstrip(b"(),."))) for x, y in found]
+        places.append([(ends[i][0], ends[i + 50][1]) for i in range(len(ends) - 50)])
+        for x, y in places[-1]:
+            count[b[x:y]] += 1
+    rule = substring_dedup.Words(51)
+    got = {(r["key"], r["size"]): r["spans"] for r in substring_dedup.repeated_spans(df, group=group, rule=rule).collect()}
+    for r, t, own in zip(substring_dedup.keyed(df, "text").collect(), texts, places):
+        b = (t or "").encode()
+        want, have = np.zeros(len(b), dtype=bool), np.zeros(len(b), dtype=bool)
+        for x, y in own:
+            want[x:y] |= count[b[x:y]] > 1 and y - x < 400
+        for s in got.get((r["key"], r["size"]), []):
+            have[s["a"] : s["b"]] = True
+        assert (want == have).all()
+    if group > 1:
+        import corpus_pipeline
+
+        full = df.withColumn("n_chars", F.length("text"))
+        kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.substrings(spark, full, "").collect()}
+        assert kept[0] == texts[0].replace(passage, "") and kept[1] == texts[1].replace(passage, "") and kept[4] == kept[8] == ""
+        assert [kept[k] for k in (2, 3, 6, 7, 13)] == [texts[k] for k in (2, 3, 6, 7, 13)]
+        assert long[20:-20] not in kept[9] and long[20:-20] not in kept[11]
+
+
+def test_windows_of_words_across_segments(monkeypatch):
+    random.seed(12)
+    data = " ".join("".join(random.choices("abcd", k=random.randint(1, 9))) for _ in range(3000)).encode()
+    rule = substring_dedup.Words(51)
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 1000)
+    _, _, starts, ends, _ = substring_dedup.contexts(data, rule)
+    windows = lambda x, y: {(x + a, x + b) for a, b in zip(*(w.tolist() for w in rule.windows(np.frombuffer(data[x:y], dtype=np.uint8), np.array([0, y - x]))))}
+    held = set().union(*(windows(x, y) for x, y in zip(starts.tolist(), ends.tolist())))
+    assert held == windows(0, len(data)) and len(held) > 2900
+
+
 def test_quality(spark, empty):
     random.seed(9)
     good, bad = [f"g{k}" for k in range(80)], [f"b{k}!!" for k in range(80)]
