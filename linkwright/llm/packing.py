@@ -4,10 +4,10 @@ A global histogram of lengths feeds a dynamic programme that chooses the bucket
 boundaries with the least total padding. Inside a bucket, batches are filled in
 turn up to a budget of padded tokens.
 
-Lengths are numbers of words (runs of characters that are not white space). In
-the histogram a length keeps its ``PRECISION`` leading bits, rounded up, so it
-has at most a few thousand cells however long the longest text is; lengths below
-2 ** PRECISION are exact. A boundary is the largest length seen in its last cell.
+Lengths are numbers of words (runs of characters that are not white space). The
+histogram has one cell for each length that occurs, so the boundaries are the
+optimum; n different lengths need n * (n + 1) / 2 words at least, which bounds the
+cells by the square root of the corpus.
 
 Defined results: a null or empty text has length 0 and joins the first bucket;
 every row gets one place, repeated rows too; a row longer than the budget is a
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .shared import materialize, read_table
 
-PRECISION = 9
 BUCKETS = 12
 TOKEN_BUDGET = 65_536
 SLICE_ROWS = 20_000
@@ -38,13 +37,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def cell(length: Column) -> Column:
-    """The length with its leading bits kept and the rest rounded up."""
-    shift = F.greatest(F.length(F.bin(length)) - PRECISION, F.lit(0))
-    unit = F.pow(F.lit(2), shift).cast("long")
-    return (F.ceil(length / unit) * unit).cast("long")
-
-
 def choose_boundaries(cells: list[tuple[int, int, int, int]], buckets: int) -> list[int]:
     """Upper lengths of the best ``buckets`` buckets.
 
@@ -64,10 +56,16 @@ def choose_boundaries(cells: list[tuple[int, int, int, int]], buckets: int) -> l
     for _ in range(buckets):
         new, cut = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
         new[0] = 0
-        for j in range(1, n + 1):
-            options = cost[:j] + (rows[j] - rows[:j]) * tops[j - 1]
-            cut[j] = int(np.argmin(options))
-            new[j] = options[cut[j]]
+        # The best cut never moves back as j grows, so the cut of the middle one bounds those on both sides of it.
+        open_ = [(1, n, 0, n - 1)]
+        while open_:
+            low, high, least, most = open_.pop()
+            j = (low + high) // 2
+            i = np.arange(least, min(most, j - 1) + 1)
+            options = cost[i] + (rows[j] - rows[i]) * tops[j - 1]
+            cut[j] = i[np.argmin(options)]
+            new[j] = options[cut[j] - least]
+            open_ += [x for x in ((low, j - 1, least, cut[j]), (j + 1, high, cut[j], most)) if x[0] <= x[1]]
         cost = new
         cuts.append(cut)
     found, j = [], n
@@ -87,11 +85,11 @@ def assign_batches(
 ) -> DataFrame:
     """``lengths``: id and ``n_tokens``. Adds bucket, bucket_len, batch, slot and padding."""
     histogram = (
-        lengths.groupBy(cell(F.col("n_tokens")).alias("cell"))
+        lengths.groupBy(F.col("n_tokens").alias("cell"))
         .agg(F.count(F.lit(1)), F.sum("n_tokens"), F.max("n_tokens"))
         .orderBy("cell")
         .collect()
-    )  # a few thousand cells at most
+    )  # one row for each length that occurs
     bounds = choose_boundaries([tuple(r) for r in histogram], buckets)
     if not bounds:
         bounds = [0]

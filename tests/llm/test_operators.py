@@ -138,6 +138,32 @@ def test_boundaries_are_optimal():
         assert cost(packing.choose_boundaries(cells, 3)) == best
 
 
+def test_boundaries_of_long_texts_are_optimal(spark):
+    """Lengths above 511 words, where neighbouring lengths must not be taken together."""
+    from itertools import combinations
+
+    lengths, counts = [700, 1001, 1002, 1010, 5001, 5002, 5003, 5017, 5018], [3, 90, 1, 4, 60, 1, 2, 80, 1]
+    cost = lambda tops: sum(c * (min(t for t in tops if t >= n) - n) for n, c in zip(lengths, counts))
+    best = min(cost([*x, lengths[-1]]) for x in combinations(lengths[:-1], 3))
+    rows = [n for n, c in zip(lengths, counts) for _ in range(c)]
+    placed = packing.assign_batches(spark.createDataFrame(list(enumerate(rows)), "doc_id long, n_tokens long"), buckets=4)
+    assert placed.agg(F.sum("padding")).first()[0] == best
+
+
+def test_boundaries_of_many_lengths():
+    """Against the plain programme over every cut."""
+    rng = np.random.default_rng(3)
+    for n, buckets in ((1, 3), (2, 3), (60, 1), (200, 7), (300, 12)):
+        lengths = np.sort(rng.choice(30_000, n, replace=False))
+        counts = rng.integers(1, 1 + 50 * rng.integers(1, 5, n) ** 3)
+        rows = np.concatenate([[0], np.cumsum(counts)])
+        cost = np.where(np.arange(n + 1), np.inf, 0.0)
+        for _ in range(min(buckets, n)):
+            cost = np.array([0.0] + [(cost[:j] + (rows[j] - rows[:j]) * lengths[j - 1]).min() for j in range(1, n + 1)])
+        tops = np.array(packing.choose_boundaries([(int(x), int(c), int(x * c), int(x)) for x, c in zip(lengths, counts)], buckets))
+        assert (tops[np.searchsorted(tops, lengths)] * counts).sum() == cost[n]
+
+
 def test_packing(spark, docs, empty):
     found = packing.pack_documents(docs, buckets=3, token_budget=400, slice_rows=4).collect()
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in found) == sorted((str(i), len(t.split())) for i, t in pairs_of(docs))
