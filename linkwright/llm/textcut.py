@@ -1,7 +1,7 @@
 """Cuts of a text at which byte-level pre-tokenization certainly has a boundary.
 
 The pre-tokenizer pattern never lets a piece run on from a non-space character
-into a space, so a text may be cut before every single space that stands
+into white space, so a text may be cut before every single space that stands
 between two characters that are not white space. Words repeat, so the codes of
 the resulting chunks are worth caching.
 """
@@ -15,9 +15,9 @@ SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0
 _SPACE_SET = frozenset(SPACES)
 
 
-def cuttable(text: str) -> bool:
-    """True if no space touches other white space, so every space is a boundary."""
-    return not any(" " + c in text or c + " " in text for c in SPACES if c in text)
+def cuttable(text: str, space: str = " ") -> bool:
+    """True if no ``space`` touches other white space, so every one of them is a boundary."""
+    return not any(space + c in text or c + space in text for c in SPACES if c in text)
 
 
 def slices(text: str, size: int = 1 << 20) -> Iterator[str]:

@@ -21,12 +21,14 @@ several files, in order.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -177,72 +179,133 @@ class TokenFile:
 # --- encoding ------------------------------------------------------------------------------------
 
 
+#: Marks that are never part of a word's piece; the apostrophe, which may open a contraction, is not one.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class LibraryEncoder:
     """The tokenizers library behind a cache of chunks.
 
-    Texts are cut only where the pre-tokenizer has a boundary for certain; the
-    library encodes all chunks that are new, joined into one text, and the ids
-    are handed back to the chunks by their byte lengths.
+    Texts are cut only where the byte-level pre-tokenizer has a boundary for
+    certain: before a single space, before a single line feed, and between a letter
+    and the marks that end a chunk. Arrow splits a block of texts and numbers its
+    different chunks; the library encodes those that are new, joined into one text,
+    and hands the ids back by their byte lengths. Texts that hold an added token, and
+    all texts under another pre-tokenizer, go to the library whole.
     """
 
-    def __init__(self, definition: str, cache_entries: int = 700_000):
+    def __init__(self, definition: str, cache_entries: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        parts = json.loads(definition)
+        pre = parts.get("pre_tokenizer") or {}
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_chunks = plain and not parts.get("normalizer")
+        self.added = [t["content"] for t in parts.get("added_tokens", [])]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, k in vocabulary.items():
             self.sizes[k] = len(token)
         self.width = "<u2" if len(self.sizes) <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_entries = cache_entries
-        self.marks = {mark: self.whole(mark) for mark in ".,"}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Add chunks to the cache. A letter and a full stop or comma at a chunk's end are always
-        two pieces, so such a chunk is put together from its word and the mark."""
+    def mark(self, marks: str) -> bytes:
+        known = self.marks.get(marks)
+        if known is None:
+            known = self.whole(marks)
+            if len(self.marks) < 10_000:
+                self.marks[marks] = known
+        return known
+
+    def learn(self, chunks: list[str]) -> None:
+        """Add chunks to the cache. A chunk stands behind a space, or begins with a line feed."""
         cache = self.cache
-        bases = {w: w[:-1] for w in words if w[-1] in self.marks and w[-2:-1].isalpha()}
-        new = [w for w in {bases.get(w, w) for w in words} if w not in cache]
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+        for k in range(0, len(chunks), 8192):
+            part = chunks[k : k + 8192]
+            text = "".join([c if c[0] == "\n" else " " + c for c in part])
+            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(found.ids, dtype=self.width)
             ends = np.cumsum(self.sizes[ids])
-            wanted = np.cumsum([len(w.encode()) + 1 for w in part])
+            wanted = np.cumsum([len(c.encode()) + (c[0] != "\n") for c in part])
             cuts = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[cuts], wanted):
                 raise ValueError("a chunk does not end at a token")
-            packed, width, first = ids.tobytes(), ids.itemsize, 0
-            for word, cut in zip(part, ((cuts + 1) * width).tolist()):
-                cache[word] = packed[first:cut]
+            packed, first = ids.tobytes(), 0
+            for chunk, cut in zip(part, ((cuts + 1) * ids.itemsize).tolist()):
+                cache[chunk] = packed[first:cut]
                 first = cut
-        for word, base in bases.items():
-            cache[word] = cache[base] + self.marks[word[-1]]
 
-    def group(self, texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") if text and cuttable(text) else None for text in texts]
-        heads = [parts.pop(0) if parts else "" for parts in cut]
-        words = set().union(*filter(None, cut))
-        words.discard("")
-        cache = self.cache
-        if new := words.difference(cache):
-            if len(cache) + len(new) > self.cache_entries:
-                cache.clear()
-                new = words
-            self.learn(list(new))
-        cache[""] = self.whole(" ")
-        return [
-            (self.whole(text) if text else b"") if parts is None else self.whole(head) + b"".join(map(cache.__getitem__, parts))
-            for text, head, parts in zip(texts, heads, cut)
-        ]
+    def known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks. A full cache becomes the older generation, which hands over what is still asked for."""
+        if len(self.cache) >= self.cache_entries:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        for chunk in chunks:
+            if chunk not in cache and chunk in older:
+                cache[chunk] = older[chunk]
+        bases: dict[str, str] = {}
+        new: dict[str, None] = {}
+        for chunk in chunks:
+            if chunk not in cache:
+                base = chunk.rstrip(MARKS)
+                if base != chunk and base[-1:].isalpha():
+                    bases[chunk] = base
+                    if base not in cache:
+                        new[base] = None
+                elif chunk:
+                    new[chunk] = None
+                else:
+                    cache[""] = self.whole(" ")
+        self.learn(list(new))
+        for chunk, base in bases.items():
+            cache[chunk] = cache[base] + self.mark(chunk[len(base) :])
+        return list(map(cache.__getitem__, chunks))
+
+    def chunked(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without their first chunk, cut at every space."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
+        numbered = split.values.dictionary_encode()
+        chunks = self.known(numbered.dictionary.to_pylist())
+        codes = numbered.indices.to_numpy()
+        ids = np.frombuffer(b"".join(chunks), dtype=self.width)
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) // ids.itemsize
+        first = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        out = ids[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
-    def encode_all(self, texts: Iterator[str], chars: int = 1 << 21) -> Iterator[bytes]:
+    def group(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        rests: list[str] = []
+        rest_of: list[int] = []
+        for text in texts:
+            if not self.by_chunks or not cuttable(text) or any(t in text for t in self.added):
+                out.append(self.whole(text) if text else b"")
+                continue
+            if "\n" in text and cuttable(text, "\n"):
+                text = text.replace("\n", " \n")
+            head, space, rest = text.partition(" ")
+            if space:
+                rest_of.append(len(out))
+                rests.append(rest)
+            out.append(self.whole(head) if head else b"")
+        for k, ids in zip(rest_of, self.chunked(rests)):
+            out[k] += ids
+        return out
+
+    def encode_all(self, texts: Iterator[str], chars: int = 1 << 23) -> Iterator[bytes]:
         """Ids of each text in turn; about ``chars`` characters are in work at a time."""
         waiting: list[str] = []
         counts: list[int] = []
@@ -256,7 +319,7 @@ class LibraryEncoder:
                 at += n
 
         for text in texts:
-            parts = list(slices(text))
+            parts = list(slices(text)) if self.by_chunks and not any(t in text for t in self.added) else [text]
             waiting += parts
             counts.append(len(parts))
             size += len(text)
@@ -325,8 +388,8 @@ def write_tokens(
             share = (ties.astype(np.float64) + 2.0**63) / 2.0**64
             place = np.minimum(low + np.floor(share * (high - low + 1)).astype(np.int64), high)
             at = 0
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
                 packed, counts = [], []
                 for ids in encoder.encode_all(x.as_py() for x in part.column(1)):
                     packed.append(packer.compress(ids + end))

@@ -334,7 +334,6 @@ def test_token_store(spark, docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     manifest = token_store.write_tokens(docs, path, shards=3, file_ids=2000)
     found = token_store.read_tokens(manifest).collect()
     wanted = sorted((str(i), len(ids := library.encode(t, add_special_tokens=False).ids + [0]), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in pairs_of(docs))
@@ -348,6 +347,23 @@ def test_token_store(spark, docs, empty):
     assert token_store.read_tokens(token_store.write_tokens(empty, path)).count() == 0
 
 
+def test_chunked_encoding_equals_the_library():
+    """Spaces, line feeds, marks and the added token in every order; a cache that overflows all the time."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_store.LibraryEncoder(open(path).read(), cache_entries=50)
+    random.seed(2)
+    pieces = ["a", "é", "日", " ", " ", " ", "the", "the", "  ", "\n", "\n", "'s", "12", "!", "...", "'", "　", "😀", "zq", "&&&", "\r", "_", "-", "<|endoftext|>"]
+    texts = ["hello <|endoftext|> world", "", " ", "\n", "a ", "a\n", "\na"] + ["".join(random.choices(pieces, k=random.randint(0, 30))) for _ in range(3000)]
+    for first in range(0, len(texts), 100):
+        part = texts[first : first + 100]
+        for text, ids in zip(part, encoder.encode_all(part)):
+            assert np.frombuffer(ids, encoder.width).tolist() == library.encode(text, add_special_tokens=False).ids
+    (long,) = encoder.encode_all([("the " + "zq, " * 5 + "a\n") * 60_000])
+    assert np.frombuffer(long, encoder.width).tolist() == library.encode(("the " + "zq, " * 5 + "a\n") * 60_000, add_special_tokens=False).ids
+
+
 def test_addressable_codes():
     random.seed(3)
     for high in (1, 200, 70_000, 1 << 31):
