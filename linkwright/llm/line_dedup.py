@@ -23,23 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import fresh_names, read_table
 
 WINDOW = 3
 
 
-def _fresh(columns: list[str], *names: str) -> list[str]:
-    """Names that do not clash with ``columns``."""
-    taken = {c.lower() for c in columns}
-    found = []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        found.append(name)
-    return found
-
-
 def row_key(id_col: str, text_col: str):
     """128-bit identity of a document: its id and its text."""
     parts = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col).isNull().cast("string"), text_col)
@@ -78,7 +66,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         (F.max("at") + WINDOW).alias("rest"),
         F.sum(F.col("at") + WINDOW - F.greatest("at", "start")).alias("removed"),
     )
-    key, lines, gaps, rest, removed = _fresh(df.columns, "doc", "lines", "gaps", "rest", "removed")
+    key, lines, gaps, rest, removed = fresh_names(df.columns, "doc", "lines", "gaps", "rest", "removed")
     merged = merged.toDF(key, gaps, rest, removed)
     joined = df.withColumn(key, row_key(id_col, text_col)).join(merged, key, "left").withColumn(lines, F.split(F.col(text_col), "\n"))
     before = F.flatten(F.transform(F.col(gaps), lambda g: F.slice(F.col(lines), g["start"] + 1, g["size"])))

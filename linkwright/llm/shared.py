@@ -77,6 +77,18 @@ def publish(uri: str, write) -> int:
     return size
 
 
+def fresh_names(columns: list[str], *names: str) -> list[str]:
+    """Names that do not clash with ``columns``."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,32 +1,36 @@
 """Operator 8: suffix-array dedup of long repeated byte strings.
 
-Each byte covered by a string of ``LENGTH`` bytes that also starts anywhere else is
-removed. How the work is spread:
-
-1. Every window of ``LENGTH`` bytes belongs to one anchor, the least hash among its
-   ``ANCHOR``-byte strings, so equal windows have equal anchors. A task lists, for
-   each anchor, the stretch of windows it owns and a hash of that context.
-2. Anchors that occur once in the corpus are done. A context that occurs twice or
-   more is repeated as a whole.
-3. The other contexts of a repeated anchor meet in one group. They are parsed into
-   phrases at content-defined cuts; the suffix array of the phrases (linear
-   grouping construction, ``suffix_array``) brings together the cuts that are
-   followed by equal text, and inside each run the windows are compared.
+A ``Rule`` says which strings count: those of ``length`` bytes and, if asked for, shorter
+ones of ``words`` words. Each byte covered by such a string that also starts anywhere
+else is reported. How the work is spread:
+
+1. Every window (string that counts) belongs to one anchor, the least hash among the
+   ``gram``-byte strings of a stretch that the window itself determines, so equal windows
+   have equal anchors. A task lists, for each anchor, the stretch of windows it owns (a
+   context) with a hash of it.
+2. Anchors that occur once in the corpus are done. Copies of one context are merged
+   before any array: a context that occurs twice or more is repeated as a whole. Contexts
+   are known by two 64-bit hashes.
+3. The other contexts of a repeated anchor meet in one group. Prefix-free parsing cuts
+   them into overlapping phrases; phrases are ranked by their bytes, so the suffix array
+   of the ranks (linear grouping construction, ``suffix_array``) holds the suffixes at
+   all cuts in byte order. The common prefixes of neighbours, in bytes, then decide which
+   windows are equal from their cut on; the few bytes before the cut are sorted the same
+   way. No window is compared by a hash.
 4. Covered stretches are merged for each text and taken out of it.
 
-``remove_repeats`` can also take out repeats of a number of words that are shorter than ``LENGTH``
-bytes: its windows then start at words (``Words``) and go through the same steps.
-
-Groups too large for one suffix array are compared by window hashes in their task; those of
-more than ``GROUP`` contexts do not go to one task: their windows are
-dealt by hash and counted, after each task has combined its own (``oversized``).
+Groups of more than ``GROUP`` contexts do not go to one task: their windows are dealt by
+hash and counted, after each task has combined its own (``oversized``); there, and for
+merged copies, equality is that of hashes.
 
 Defined results: a null text counts as empty; matches never cross documents;
-repeated rows are other occurrences, so equal texts of ``LENGTH`` bytes or more
-are emptied; the bytes that remain may break a character, so ``kept`` is binary,
-and ``remove_repeats`` drops the bytes of characters that were cut. Rows with
-equal texts share their result. Other columns are carried along by
-``remove_repeats`` and ignored by ``repeated_spans``. An empty table gives no row.
+repeated rows are other occurrences, so equal texts of ``length`` bytes or more
+are emptied; words are runs of bytes that are not ASCII white space, and marks before
+the letters of a window's first word and behind those of its last do not count; the
+bytes that remain may break a character, so ``remove_repeats`` and the query's ``text``
+drop the bytes of characters that were cut, while sizes and digests keep them. Rows with
+equal texts share their result. Other columns are carried along by ``remove_repeats``,
+whatever their names, and ignored by ``repeated_spans``. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -37,24 +41,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table, sorted_groups
+from .shared import fresh_names, materialize, read_table, sorted_groups
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 400
-GROUP = 32_768
+#: A passage of over 50 words is a repeat, however few bytes it has.
+PASSAGE_WORDS = 51
+GROUP = 2_048
 SEGMENT = 1 << 19
-BATCH_BYTES = 1 << 20  # of contexts in one suffix array
+BATCH_BYTES = 1 << 21  # of contexts in one suffix array
+TRIGGER = 8  # bytes that decide on a cut
+PERIOD = 20  # mean distance of cuts
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOW = np.uint64((1 << 20) - 1)
-_NONE = np.iinfo(np.uint64).max
+_FAR = np.iinfo(np.int64).max >> 1
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -87,22 +94,6 @@ class Hasher:
         return _mix((self.sums[size:] - self.sums[:n]) * _DOWN[:n] + np.uint64(size))
 
 
-def owners(hasher: Hasher, size: int, gram: int) -> np.ndarray:
-    """For every window of ``size`` bytes, the place of its least ``gram``-byte hash (the first, if equal)."""
-    h = hasher.every(gram)
-    width = size - gram + 1
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64)
-    key = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
-    padded = np.full(-(-len(key) // width) * width, _NONE)
-    padded[: len(key)] = key
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _LOW).astype(np.int64)
-
-
 def least_within(key: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The least of ``key[start:end]`` for every stretch; none is empty."""
     level = np.frexp((ends - starts).astype(np.float64))[1] - 1  # the largest power of two that fits
@@ -115,70 +106,82 @@ def least_within(key: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-@dataclass(frozen=True)
-class Bytes:
-    """Windows of ``LENGTH`` bytes, one at every byte."""
-
-    least: int = LENGTH  # bytes of the shortest window
-    anchor: int = 128
-    gram: int = 16
-    phrase: int = 64
-
-    def windows(self, data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends, ascending, of the windows inside the parts of ``data`` that ``base`` bounds."""
-        starts = np.concatenate([np.arange(a, max(a, b - LENGTH + 1)) for a, b in zip(base[:-1].tolist(), base[1:].tolist())])
-        return starts, starts + LENGTH
-
-    def owners(self, hasher: Hasher, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """As ``owners``, for the windows of one text."""
-        return owners(hasher, LENGTH, self.anchor)
-
-
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _LETTER = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
 
 
 @dataclass(frozen=True)
-class Words:
-    """Windows of ``words`` words (runs of bytes that are not white space) of fewer than ``LENGTH`` bytes, one at every word.
+class Rule:
+    """Windows of ``length`` bytes, one at every byte, and those of ``words`` words and fewer bytes, one at every word."""
 
-    Marks before the letters of the first word and behind those of the last are left out. Longer ones are made of ``Bytes`` windows.
-    """
+    length: int = LENGTH
+    words: int = 0
 
-    words: int
-    gram: int = 8
-    phrase: int = 16
+    def __post_init__(self) -> None:
+        if not 64 <= self.length <= 511 or self.words and not 12 <= self.words <= self.length // 3:
+            raise ValueError("length must be 64 to 511, words 0 or 12 to a third of it")
 
     @property
     def least(self) -> int:
-        return 2 * self.words - 1
+        """Bytes of the shortest window."""
+        return min(self.length, 2 * self.words - 1) if self.words else self.length
+
+    @property
+    def gap(self) -> int:
+        """Bytes after the start of a window of ``length`` in which a word is looked for."""
+        return min(96, self.length // 4)
+
+    @property
+    def gram(self) -> int:
+        return min(48, self.length // 4, 2 * self.words - 3 if self.words else 48)
 
     @property
-    def anchor(self) -> int:
-        return max(self.least * 5 // 8, 1)
+    def look(self) -> int:
+        """Bytes after the start of a window within which a cut is certain."""
+        return min(88, self.least - TRIGGER - 5)
 
-    def windows(self, data: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.zeros(len(data) + 1, dtype=bool)
-        edge[base] = True
+    @property
+    def bits(self) -> int:
+        """Of a place inside a context."""
+        return (2 * self.length).bit_length()
+
+
+@dataclass
+class Tokens:
+    """Words of a buffer: first byte, first letter, behind the last letter, behind the last byte."""
+
+    begin: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    stop: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> Tokens:
+        """``before`` and ``behind``: parts of words that stand outside the buffer, at its edges."""
         space = _SPACE[data]
-        before, behind = edge[:-1].copy(), edge[1:].copy()
-        before[1:] |= space[:-1]
-        behind[:-1] |= space[1:]
-        first, last = np.flatnonzero(~space & before), np.flatnonzero(~space & behind) + 1
-        if len(first) < self.words:
-            return (np.empty(0, dtype=np.int64),) * 2
-        letters = np.flatnonzero(_LETTER[data])
-        a, b = np.searchsorted(letters, first), np.searchsorted(letters, last)
-        some = b > a
-        starts, ends = first.copy(), last.copy()
-        starts[some], ends[some] = letters[a[some]], letters[b[some] - 1] + 1
-        starts, ends = starts[: len(first) - self.words + 1], ends[self.words - 1 :]
-        inside = (ends - starts < LENGTH) & (ends <= base[np.searchsorted(base, starts, "right")])
-        return starts[inside], ends[inside]
-
-    def owners(self, hasher: Hasher, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = hasher.every(self.anchor)
-        return (least_within((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), starts, ends - self.anchor + 1) & _LOW).astype(np.int64)
+        begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        stop = np.flatnonzero(~space & np.concatenate([space[1:], [True]])) + 1
+        letter = _LETTER[data]
+        places: np.ndarray | None = None
+        first, last = begin.copy(), stop.copy()
+        odd = np.flatnonzero(~letter[begin] | ~letter[stop - 1])
+        if len(odd):
+            places = np.flatnonzero(letter)
+            a, b = np.searchsorted(places, begin[odd]), np.searchsorted(places, stop[odd])
+            some = b > a
+            first[odd[some]], last[odd[some]] = places[a[some]], places[b[some] - 1] + 1
+        if before is not None and len(before) and len(begin) and begin[0] == 0 and (_LETTER[before].any() or not letter[: stop[0]].any()):
+            begin, first, last, stop = begin[1:], first[1:], last[1:], stop[1:]  # this word started before the buffer
+        if behind is not None and len(behind) and len(stop) and stop[-1] == len(data) and _LETTER[behind].any():
+            last[-1] = _FAR
+        return cls(begin, first, last, stop)
+
+    def windows(self, rule: Rule) -> np.ndarray:
+        """Numbers of the words at which a window of words starts."""
+        n = len(self.first) - rule.words + 1
+        if not rule.words or n <= 0:
+            return np.empty(0, dtype=np.int64)
+        return np.flatnonzero(self.last[rule.words - 1 :] - self.first[:n] < rule.length)
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,41 +194,99 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[new], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
 
 
-def contexts(data: bytes, rule: Bytes | Words) -> tuple[np.ndarray, ...]:
-    """(anchor, context, start, end, offset of the anchor) of the stretches of windows of one text."""
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of every run of equal values."""
+    cut = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(values)]]) - 1
+
+
+def _segment(data: np.ndarray, own: int, tokens: Tokens, rule: Rule) -> tuple[np.ndarray, ...] | None:
+    """Contexts of the windows that start at the first ``own`` bytes of ``data``."""
+    size, reach, gram = rule.length, rule.length - rule.gap, rule.gram
+    if len(data) < rule.least:
+        return None
+    hasher = Hasher(data)
+    h = hasher.every(gram)
+    key = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+    least = lambda starts, ends: (least_within(key, starts, ends - gram + 1) & _LOW).astype(np.int64)
+
+    # The stretch of a word ends before the last word of its window, or after ``reach`` bytes.
+    end = tokens.first + reach
+    if rule.words:
+        n = max(len(end) - rule.words + 2, 0)
+        end[:n] = np.minimum(end[:n], tokens.stop[rule.words - 2 :])
+    sound = np.flatnonzero(end <= len(data))
+    of_word = np.full(len(end) + 1, -1)
+    of_word[sound] = least(tokens.first[sound], end[sound])
+
     found = []
+    n = min(own, len(data) - size + 1)
+    if n > 0:
+        # A window of bytes takes the first word behind its first white space, or, if there is none near, a place counted from its start.
+        flags = np.zeros(n, dtype=np.int64)
+        flags[tokens.begin[tokens.begin < n]] = 1
+        j = np.cumsum(flags)
+        at = np.append(tokens.first, _FAR)[j]
+        owner = of_word[j]
+        far = np.flatnonzero(at > np.arange(n) + rule.gap)
+        owner[far] = least(far + rule.gap, far + size)
+        a, b = _runs(owner)
+        found.append((owner[a], a, b + size, np.full(len(a), _FAR), np.full(len(a), -1)))
+    w = tokens.windows(rule)
+    w = w[tokens.first[w] < own]
+    if len(w):
+        a, b = _runs(of_word[w])
+        starts, ends = tokens.first[w[a]], tokens.last[w[b] + rule.words - 1]
+        found.append((of_word[w[a]], starts, ends, starts, ends))
+    if not found:
+        return None
+    at, starts, ends, first, last = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(at, kind="stable")
+    cut, _ = _runs(at[order])
+    at = at[order][cut]
+    starts, first = (np.minimum.reduceat(x[order], cut) for x in (starts, first))
+    ends, last = (np.maximum.reduceat(x[order], cut) for x in (ends, last))
+    some = last > 0
+    first, last = np.where(some, first - starts, 0), np.where(some, last - starts, 0)
+    context = _mix(hasher.stretch(starts, ends) + first.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + last.astype(np.uint64))
+    return hasher.stretch(at, at + gram), context, starts, ends, first, last
+
+
+def contexts(data: bytes, rule: Rule) -> tuple[np.ndarray, ...]:
+    """(anchor, context, start, end, first, last) of a text; first and last bound the windows of words inside the context."""
     whole = np.frombuffer(data, dtype=np.uint8)
-    first, last = rule.windows(whole, np.array([0, len(data)])) if len(data) >= rule.least else (np.empty(0, dtype=np.int64),) * 2
-    for x in range(0, len(data) if len(first) else 0, SEGMENT):
-        own = slice(*np.searchsorted(first, [x, x + SEGMENT]))
-        if own.start == own.stop:
-            continue
-        begin, end = first[own] - x, last[own] - x
-        hasher = Hasher(whole[x : x + SEGMENT + LENGTH - 1])
-        owner = rule.owners(hasher, begin, end)
-        cut = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        starts, ends = begin[np.concatenate([[0], cut])], end[np.concatenate([cut, [len(owner)]]) - 1]
-        at = owner[np.concatenate([[0], cut])]
-        offset = at - starts
-        anchor = hasher.stretch(at, at + rule.anchor)
-        context = _mix(hasher.stretch(starts, ends) + offset.astype(np.uint64))
-        found.append((anchor, context, starts + x, ends + x, offset))
+    found = []
+    for x in range(0, len(data) if len(data) >= rule.least else 0, SEGMENT):
+        part = whole[x : x + SEGMENT + rule.length]
+        left = 1 + max(data.rfind(c, 0, x) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")) if x else 0
+        y = x + len(part)
+        right = min((k for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (k := data.find(c, y)) >= 0), default=len(data)) if y < len(data) else y
+        got = _segment(part, SEGMENT, Tokens.of(part, whole[left:x], whole[y:right]), rule)
+        if got:
+            f, c, a, b, first, last = got
+            found.append((f, c, a + x, b + x, first, last))
     if not found:
-        return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, *[np.int64] * 4))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _pack(starts: np.ndarray, ends: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    return (starts << 24) | ((ends - starts) << 12) | offset
+def _pack(starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray, rule: Rule) -> np.ndarray:
+    """Start, size and bounds of the windows of words in one number."""
+    k = rule.bits
+    return (((((starts << k) | sizes) << k) | first) << k) | last
+
+
+def _place(rule: Rule) -> tuple[Column, Column, Column, Column]:
+    """The four numbers that ``_pack`` puts together, from the column ``place``."""
+    k, mask = rule.bits, (1 << rule.bits) - 1
+    return tuple(F.expr(x) for x in (f"shiftright(place, {3 * k})", f"shiftright(place, {2 * k}) & {mask}", f"shiftright(place, {k}) & {mask}", f"place & {mask}"))
 
 
 ANCHORS = "f long, c long, n int, key long, size long, place long"
-#: Start, length (up to 4095) and anchor offset (up to 4095) of a context in one number.
-_START, _SIZE, _OFFSET = "shiftright(place, 24)", "shiftright(place, 12) & 4095", "place & 4095"
 
 
-def list_anchors(texts: DataFrame, rule: Bytes | Words) -> DataFrame:
-    """``texts``: key, size, text. One row for each context of a text; f is null for a stretch that its own text repeats.
+def list_anchors(texts: DataFrame, rule: Rule) -> DataFrame:
+    """``texts``: key, size, text. One row for each context of a text; f is null for a stretch that its own text repeats, and c is its kind.
 
     A task skips a text from its third occurrence on: two make everything in it a repeat.
     """
@@ -234,33 +295,44 @@ def list_anchors(texts: DataFrame, rule: Bytes | Words) -> DataFrame:
         seen: dict[tuple[int, int], int] = defaultdict(int)
         for batch in batches:
             keys, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first in range(0, batch.num_rows, 256):
+            for begin in range(0, batch.num_rows, 256):
                 out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+                valid: list[np.ndarray] = []
 
-                def add(f, c, n, place, who):
+                def add(f, c, n, place, who, known):
                     for column, values in zip(out, (f, c, np.full(len(f), n) if np.isscalar(n) else n)):
                         column.append(values.astype(np.int64))
                     out[3].append(np.full(len(f), keys[who]))
                     out[4].append(np.full(len(f), sizes[who]))
                     out[5].append(place)
+                    valid.append(np.full(len(f), known))
 
-                valid: list[np.ndarray] = []
-                for who in range(first, min(first + 256, batch.num_rows)):
+                def add_own(starts, ends, kind, who):
+                    x, y = merge(starts, ends)
+                    while len(x):  # a stretch is written in parts that fit the packed size
+                        z = np.minimum(x + rule.length, y)
+                        zero = np.zeros(len(x), dtype=np.int64)
+                        add(zero, zero + kind, 2, _pack(x, z - x, zero, zero, rule), who, False)
+                        x, y = z[z < y], y[z < y]
+
+                for who in range(begin, min(begin + 256, batch.num_rows)):
                     seen[keys[who], sizes[who]] += 1
                     if seen[keys[who], sizes[who]] > 2:
                         continue
-                    f, c, a, b, offset = contexts(batch.column(2)[who].as_py().encode(), rule)
-                    both, index, inverse, count = np.unique(np.stack([f, c]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+                    f, c, a, b, first, last = contexts(batch.column(2)[who].as_py().encode(), rule)
+                    if not len(f):
+                        continue
+                    order = np.lexsort((c, f))
+                    sf, sc = f[order], c[order]
+                    starts = np.flatnonzero(np.concatenate([[True], (sf[1:] != sf[:-1]) | (sc[1:] != sc[:-1])]))
+                    count = np.diff(np.append(starts, len(f)))
                     if (count > 1).any():
-                        own = count[inverse] > 1
-                        x, y = merge(a[own], b[own])
-                        while len(x):  # a stretch is written in parts that fit the packed length
-                            z = np.minimum(x + 4000, y)
-                            add(np.zeros(len(x)), np.zeros(len(x)), 2, _pack(x, z, np.zeros(len(x), dtype=np.int64)), who)
-                            valid.append(np.zeros(len(x), dtype=bool))
-                            x, y = z[z < y], y[z < y]
-                    add(f[index].view(np.int64), c[index].view(np.int64), np.minimum(count, 2), _pack(a, b, offset)[index], who)
-                    valid.append(np.ones(len(index), dtype=bool))
+                        own = order[np.repeat(count > 1, count)]
+                        long, some = own[b[own] - a[own] >= rule.length], own[last[own] > 0]
+                        add_own(a[long], b[long], 0, who)
+                        add_own(a[some] + first[some], a[some] + last[some], 1, who)
+                    one = order[starts]
+                    add(f[one].view(np.int64), c[one].view(np.int64), np.minimum(count, 2), _pack(a[one], (b - a)[one], first[one], last[one], rule), who, True)
                 if valid:
                     columns = [np.concatenate(c) for c in out]
                     arrays = [pa.array(columns[0], mask=~np.concatenate(valid)), pa.array(columns[1]), pa.array(columns[2], type=pa.int32())]
@@ -299,59 +371,137 @@ def _fold(anchors: DataFrame, rows: int = 400_000) -> DataFrame:
     return anchors.where(F.col("f").isNotNull()).mapInArrow(run, ANCHORS).repartition(width, "f")
 
 
-def match_contexts(table: pa.Table, rule: Bytes | Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ``table`` (f, n, data) and stretches (start, end) in them that other contexts repeat; ``data``: the bytes of a context."""
-    parts = table.column("data").to_pylist()
-    lengths = np.array([len(p) for p in parts])
-    base = np.concatenate([[0], np.cumsum(lengths)])
-    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    hasher = Hasher(data)
-    inside = np.repeat(base[1:], lengths)  # end of the context that holds a byte
-
-    span = rule.phrase + rule.gram - 1
-    owner = owners(hasher, span, rule.gram)
-    whole = np.arange(len(owner)) + span <= inside[: len(owner)]
-    cuts = np.unique(owner[whole])
+def _same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Bytes that stand alike from x and from y on, at most ``limit``."""
+    out = np.zeros(len(x), dtype=np.int64)
+    open_ = np.flatnonzero(limit > 0)
+    step = np.arange(16)
+    while len(open_):
+        left = limit[open_] - out[open_]
+        inside = step < left[:, None]
+        ahead = np.where(inside, step, 0) + out[open_, None]
+        alike = (data[x[open_, None] + ahead] == data[y[open_, None] + ahead]) & inside
+        more = np.where(alike.all(axis=1), len(step), alike.argmin(axis=1))
+        out[open_] += more
+        open_ = open_[(more == len(step)) & (out[open_] < limit[open_])]
+    return np.minimum(out, limit)
+
+
+def all_windows(parts: list[bytes], first: np.ndarray, last: np.ndarray, base: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the windows inside contexts that stand one after another from ``base`` on."""
+    sizes = np.diff(base)
+    count = np.maximum(sizes - rule.length + 1, 0)
+    starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(base[:-1], count)
+    ends = starts + rule.length
+    some = np.flatnonzero(last > first)
+    if rule.words and len(some):
+        cut = [parts[k][first[k] : last[k]] for k in some.tolist()]
+        at = np.cumsum([0] + [len(c) + 1 for c in cut])
+        tokens = Tokens.of(np.frombuffer(b" ".join(cut), dtype=np.uint8))
+        of = np.searchsorted(at, tokens.first, "right") - 1
+        w = tokens.windows(rule)
+        w = w[of[w] == of[w + rule.words - 1]]
+        shift = (base[some] + first[some] - at[:-1])[of[w]]
+        starts, ends = np.concatenate([starts, tokens.first[w] + shift]), np.concatenate([ends, tokens.last[w + rule.words - 1] + shift])
+    return starts, ends
+
+
+def equal_windows(parts: list[bytes], starts: np.ndarray, ends: np.ndarray, base: np.ndarray, rule: Rule) -> np.ndarray:
+    """True for each window whose bytes another window repeats; decided by the order of the contexts' suffixes."""
+    raw = b"".join(parts)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    n = len(data)
+    places = np.arange(n)
+    of = np.repeat(np.arange(len(parts)), np.diff(base))
+    end_of = base[1:][of]
+
+    # Cuts: where the next bytes hash to a chosen value, and every place that has had no such cut for ``look`` bytes.
+    value = np.zeros(n, dtype=np.uint64)
+    for k in range(TRIGGER):
+        value[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
+    room = places + TRIGGER <= end_of
+    trigger = room & ((_mix(value) >> np.uint64(32)) % np.uint64(PERIOD) == 0)
+    latest = np.concatenate([[-1], np.maximum.accumulate(np.where(trigger, places, -1))[:-1]])
+    is_cut = trigger | (room & (places - np.maximum(latest + 1, base[:-1][of]) >= rule.look))
+    cuts = np.flatnonzero(is_cut)
     if not len(cuts):
-        return (np.empty(0, dtype=np.int64),) * 3
-    of = np.searchsorted(base, cuts, "right") - 1
-    ends = np.where(np.append(of[1:] == of[:-1], False), np.append(cuts[1:], 0), -1)  # the last cut of a context opens no phrase
-
-    # Symbols: a separator for the last cut of each context, ranks of phrase hashes for the others, and the end mark.
-    last = ends < 0
-    symbols = np.empty(len(cuts) + 1, dtype=np.int64)
-    symbols[:-1][last] = 1 + np.arange(last.sum())
-    phrase = hasher.stretch(cuts[~last], ends[~last])
-    symbols[:-1][~last] = 1 + last.sum() + np.unique(phrase, return_inverse=True)[1]
-    symbols[-1] = 0
+        return np.zeros(len(starts), dtype=bool)
+
+    # Phrases overlap by the bytes that decide on a cut, so none begins with another one; the last of a context ends like no other.
+    tail = np.append(of[cuts[1:]] != of[cuts[:-1]], True)
+    stops = np.where(tail, end_of[cuts], np.append(cuts[1:], 0) + TRIGGER)
+    names = [(raw[a:b], 0, k) if t else (raw[a:b], 1, 0) for k, (a, b, t) in enumerate(zip(cuts.tolist(), stops.tolist(), tail.tolist()))]
+    rank = {name: k for k, name in enumerate(sorted(set(names)), 1)}
+    symbols = np.array([*map(rank.__getitem__, names), 0])
     order = suffix_array(symbols)
     shared = common_prefixes(symbols, order)
-    at = np.append(cuts, 0)
-    bytes_shared = np.where(shared > 0, at[np.minimum(order + shared, len(cuts))] - at[order], 0)
-
-    # Runs of suffixes that share the bytes any two equal windows share between their own cuts.
-    least = rule.least - 2 * rule.phrase - rule.gram + 2
-    run_of_rank = np.cumsum(bytes_shared < least)
-    run = np.empty(len(order), dtype=np.int64)
-    run[order] = run_of_rank
-    run = run[:-1]
-    sizes = np.bincount(run)
-
-    # Each window belongs to the cut that owns its beginning; windows of one run are compared by all their bytes.
-    windows, ends = rule.windows(data, base)
-    its_run = run[np.searchsorted(cuts, owner[windows])]
-    met = sizes[its_run] > 1
-    windows, ends, its_run = windows[met], ends[met], its_run[met]
-    if not len(windows):
-        return (np.empty(0, dtype=np.int64),) * 3
-    h = hasher.stretch(windows, ends)
-    by = np.lexsort((h, its_run))
-    same = (h[by][1:] == h[by][:-1]) & (its_run[by][1:] == its_run[by][:-1])
-    hit = np.zeros(len(windows), dtype=bool)
-    hit[by] = np.append(same, False) | np.concatenate([[False], same])
-    starts, ends = merge_windows(windows[hit], ends[hit], base)
-    row = np.searchsorted(base, starts, "right") - 1
-    return row, starts - base[row], ends - base[row]
+    at, until = np.append(cuts, n), np.append(end_of[cuts], n)
+    low, high, alike = order[:-1], order[1:], shared[1:]
+    x, y = at[np.minimum(low + alike, len(cuts))], at[high + alike]
+    limit = np.minimum(until[low] - x, until[high] - y)
+    common = np.zeros(len(order) + 1, dtype=np.int64)  # bytes shared with the suffix before
+    common[1:-1] = y - at[high] + _same_bytes(data, x, y, limit)
+    place_of = np.empty(len(order), dtype=np.int64)
+    place_of[order] = np.arange(len(order))
+
+    # A window belongs to the first cut that its own bytes show; it may have an equal if a neighbour shares the bytes from there on.
+    following = np.minimum.accumulate(np.where(trigger, places, _FAR)[::-1])[::-1]
+    cut = np.minimum(following[starts], starts + rule.look)
+    number = np.cumsum(is_cut) - 1
+    own = number[cut]
+    back, ahead = cut - starts, ends - cut
+    its_place = place_of[own]
+    maybe = np.flatnonzero(np.maximum(common[its_place], common[its_place + 1]) >= ahead)
+    hit = np.zeros(len(starts), dtype=bool)
+    if not len(maybe):
+        return hit
+    own, back, ahead, its_place = own[maybe], back[maybe], ahead[maybe], its_place[maybe]
+
+    # The bytes before a cut, nearest first, in order.
+    used, own = np.unique(own, return_inverse=True)
+    wide = -(-rule.look // 8) * 8
+    padded = np.concatenate([np.zeros(wide, dtype=np.uint8), data])
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, wide)[cuts[used]][:, ::-1])
+    before = np.lexsort(rows.view(">u8").astype(np.uint64).T[::-1])
+    differ = rows[before][1:] != rows[before][:-1]
+    common_before = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), wide)])
+    place_before = np.empty(len(used), dtype=np.int64)
+    place_before[before] = np.arange(len(used))
+    place_before = place_before[own]
+
+    # Suffixes that share that many bytes stand together, so equal windows have equal numbers of their runs on both sides.
+    def runs(lengths: np.ndarray, shared: np.ndarray, place: np.ndarray) -> np.ndarray:
+        out = np.empty(len(lengths), dtype=np.uint64)
+        by = np.argsort(lengths, kind="stable")
+        first, last = _runs(lengths[by])
+        for a, b in zip(first.tolist(), last.tolist()):
+            here = by[a : b + 1]
+            out[here] = np.cumsum(shared < lengths[here[0]])[place[here]]
+        return out
+
+    key = (back.astype(np.uint64) << np.uint64(9)) | ahead.astype(np.uint64)
+    key = (key << np.uint64(24)) | runs(ahead, common[:-1], its_place)
+    key = (key << np.uint64(24)) | runs(back, common_before, place_before)
+    by = np.argsort(key, kind="stable")
+    same = key[by][1:] == key[by][:-1]
+    hit[maybe[by]] = np.append(same, False) | np.concatenate([[False], same])
+    return hit
+
+
+def match_contexts(parts: list[bytes], first: np.ndarray, last: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+    """(context, start, end, kind) of the stretches that another window repeats; kind 0: of bytes, 1: of words."""
+    base = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    starts, ends = all_windows(parts, first, last, base, rule)
+    if not len(starts):
+        return (np.empty(0, dtype=np.int64),) * 4
+    hit = equal_windows(parts, starts, ends, base, rule)
+    out = []
+    for kind in (0, 1):
+        mine = hit & ((ends - starts < rule.length) == bool(kind))
+        a, b = merge_windows(starts[mine], ends[mine], base)
+        row = np.searchsorted(base, a, "right") - 1
+        out.append((row, a - base[row], b - base[row], np.full(len(row), kind)))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def merge_windows(starts: np.ndarray, ends: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,94 +513,76 @@ def merge_windows(starts: np.ndarray, ends: np.ndarray, base: np.ndarray) -> tup
     return starts[new], ends[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])]
 
 
-def fetch(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """Bytes of the wanted contexts: f, c, n, data. ``wanted``: f, c, n, key, size, place."""
-    lists = wanted.groupBy("key", "size").agg(F.collect_list(F.struct("f", "c", "n", F.expr(f"{_START} AS a"), F.expr(f"{_SIZE} AS k"))).alias("list"))
+def fetch(wanted: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Bytes of the wanted contexts: f, c, first, last, data. ``wanted``: f, c, key, size, place."""
+    start, size, first, last = _place(rule)
+    item = F.struct("f", "c", start.alias("a"), size.alias("k"), first.alias("first"), last.alias("last"))
+    lists = wanted.groupBy("key", "size").agg(F.collect_list(item).alias("list"))
     once = texts.dropDuplicates(["key", "size"])
     met = once.join(lists, ["key", "size"]).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            for first in range(0, batch.num_rows, 128):
+            for begin in range(0, batch.num_rows, 128):
                 rows = []
-                for text, items in zip(batch.column(0).slice(first, 128), batch.column(1).slice(first, 128).to_pylist()):
+                for text, items in zip(batch.column(0).slice(begin, 128), batch.column(1).slice(begin, 128).to_pylist()):
                     data = text.as_py().encode()
-                    rows += [(x["f"], x["c"], x["n"], data[x["a"] : x["a"] + x["k"]]) for x in items]
+                    rows += [(x["f"], x["c"], x["first"], x["last"], data[x["a"] : x["a"] + x["k"]]) for x in items]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["f", "c", "n", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["f", "c", "first", "last", "data"])
 
-    return met.mapInArrow(run, "f long, c long, n int, data binary")
+    return met.mapInArrow(run, "f long, c long, first int, last int, data binary")
 
 
-MATCHES = "f long, c long, a int, b int"
+MATCHES = "f long, c long, a int, b int, kind int"
 
 
-def match_groups(found: DataFrame, rule: Bytes | Words) -> DataFrame:
-    """(f, c, a, b): stretches of contexts that another context of their anchor repeats; several groups share a suffix array."""
+def match_groups(found: DataFrame, rule: Rule) -> DataFrame:
+    """Stretches of contexts that another context of their anchor repeats; several groups share a suffix array."""
     width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def result(table: pa.Table, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        f, c = table.column("f").to_numpy(), table.column("c").to_numpy()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(f[row]), pa.array(c[row]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["f", "c", "a", "b"]
-        )
+    def result(held: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(held)
+        f, c, first, last = (table.column(k).to_numpy() for k in range(4))
+        row, a, b, kind = match_contexts(table.column(4).to_pylist(), first, last, rule)
+        return pa.RecordBatch.from_arrays([pa.array(f[row]), pa.array(c[row]), *(pa.array(x.astype(np.int32)) for x in (a, b, kind))], names=["f", "c", "a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
         for group in sorted_groups(batches, 1):
             own = pc.sum(pc.binary_length(group.column("data"))).as_py()
-            if held and size + own > BATCH_BYTES - 1:
-                table = pa.concat_tables(held)
-                yield result(table, *match_contexts(table, rule))
+            if held and size + own > BATCH_BYTES:
+                yield result(held)
                 held, size = [], 0
-            if own > BATCH_BYTES - 1:
-                yield result(group, *match_large(group, rule))
-            else:
-                held.append(group)
-                size += own
+            held.append(group)
+            size += own
         if held:
-            table = pa.concat_tables(held)
-            yield result(table, *match_contexts(table, rule))
+            yield result(held)
 
     return found.repartition(width, "f").sortWithinPartitions("f", "c").mapInArrow(run, MATCHES)
 
 
-def match_large(table: pa.Table, rule: Bytes | Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As ``match_contexts`` for one group beyond the hasher's limit: its windows are compared by hash at once."""
-    parts = [np.frombuffer(d, dtype=np.uint8) for d in table.column("data").to_pylist()]
-    base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    found = [rule.windows(p, np.array([0, len(p)])) for p in parts]
-    h = np.concatenate([Hasher(p).stretch(*w) for p, w in zip(parts, found)])
-    starts, ends = (np.concatenate([w[k] + b for w, b in zip(found, base.tolist())]) for k in (0, 1))
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    hit = np.zeros(len(h), dtype=bool)
-    hit[order] = np.append(same, False) | np.concatenate([[False], same])
-    starts, ends = merge_windows(starts[hit], ends[hit], base)
-    row = np.searchsorted(base, starts, "right") - 1
-    return row, starts - base[row], ends - base[row]
-
-
-def oversized(found: DataFrame, rule: Bytes | Words) -> DataFrame:
+def oversized(found: DataFrame, rule: Rule) -> DataFrame:
     """The same result for groups that are too large for a task: windows are dealt by hash and counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                data = np.frombuffer(row["data"], dtype=np.uint8)
-                starts, ends = rule.windows(data, np.array([0, len(data)]))
-                h = Hasher(data).stretch(starts, ends)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array([row["f"]] * n), pa.array([row["c"]] * n), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32))],
-                    names=["h", "f", "c", "a", "b"],
-                )
-
-    windows = found.mapInArrow(run, MATCHES.replace("f", "h long, f", 1))
+            for begin in range(0, batch.num_rows, 64):
+                part = batch.slice(begin, 64)
+                parts = part.column(4).to_pylist()
+                f, c, first, last = (part.column(k).to_numpy() for k in range(4))
+                base = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+                starts, ends = all_windows(parts, first, last, base, rule)
+                h = Hasher(np.frombuffer(b"".join(parts), dtype=np.uint8)).stretch(starts, ends)
+                row = np.searchsorted(base, starts, "right") - 1
+                numbers = [(x - base[row]).astype(np.int32) for x in (starts, ends)] + [(ends - starts < rule.length).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), f[row], c[row], *numbers)], names=["h", "f", "c", "a", "b", "kind"])
+
+    windows = found.mapInArrow(run, f"h long, {MATCHES}")
     twice = windows.groupBy("h", "f").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).drop("m")
-    return windows.join(twice, ["h", "f"]).select("f", "c", "a", "b")
+    return windows.join(twice, ["h", "f"]).select("f", "c", "a", "b", "kind")
 
 
 def keyed(df: DataFrame, text_col: str) -> DataFrame:
@@ -458,8 +590,11 @@ def keyed(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
 
 
-def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP, rule: Bytes | Words = Bytes()) -> DataFrame:
-    """(key, size, spans): merged covered stretches of each text that has any; key and size identify a text."""
+def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP, rule: Rule = Rule()) -> DataFrame:
+    """(key, size, spans): covered stretches (a, b, kind) of each text that has any; key and size identify a text.
+
+    Stretches may overlap. Kind 0 is covered by windows of bytes, kind 1 by windows of words.
+    """
     texts = keyed(df, text_col).where(F.col("size") >= rule.least)
     anchors = materialize(list_anchors(texts, rule), "anchors")
     folded = _fold(anchors).groupBy("f", "c").agg(
@@ -469,63 +604,88 @@ def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP, ru
     repeated = folded.join(per_anchor.where(F.col("total") > 1), "f")
     repeated = materialize(repeated.select("f", "c", F.least("n", F.lit(2)).cast("int").alias("n"), "rep.*", "variants", "single"), "repeated")
 
-    mixed = fetch(repeated.where((F.col("variants") > 1) & (F.col("single") > 0) & (F.col("variants") <= group)).drop("variants", "single"), texts)
-    large = repeated.where((F.col("variants") > group) & (F.col("single") > 0)).drop("variants", "single")
-    matched = materialize(match_groups(mixed, rule), "matched")
+    open_ = repeated.where((F.col("variants") > 1) & (F.col("single") > 0))
+    large = open_.where(F.col("variants") > group)
+    matched = materialize(match_groups(fetch(open_.where(F.col("variants") <= group), texts, rule), rule), "matched")
     if large.limit(1).count():
-        matched = matched.unionByName(materialize(oversized(fetch(large, texts), rule), "matched-large"))
-    whole = repeated.where(F.col("n") > 1).select("f", "c", F.lit(0).alias("a"), F.lit(-1).alias("b"))
-    stretches = whole.unionByName(matched).groupBy("f", "c").agg(F.collect_set(F.struct("a", "b")).alias("s"))
-
-    start, size = F.expr(_START), F.expr(_SIZE)
-    met = anchors.join(stretches, ["f", "c"]).select(
-        "key", "size", F.explode(F.transform("s", lambda x: F.struct((start + x["a"]).alias("a"), F.when(x["b"] < 0, start + size).otherwise(start + x["b"]).alias("b")))).alias("x")
+        matched = matched.unionByName(materialize(oversized(fetch(large, texts, rule), rule), "matched-large"))
+    start, size, first, last = _place(rule)
+    whole = repeated.where(F.col("n") > 1).select(
+        "f", "c", F.explode(F.array(F.struct(F.lit(0).alias("a"), size.alias("b"), F.lit(0).alias("kind")), F.struct(first.alias("a"), last.alias("b"), F.lit(1).alias("kind")))).alias("x")
+    ).select("f", "c", F.col("x.a").cast("int").alias("a"), F.col("x.b").cast("int").alias("b"), "x.kind").where(
+        F.when(F.col("kind") == 0, F.col("b") >= rule.length).otherwise(F.col("b") > 0)
     )
-    own = anchors.where(F.col("f").isNull()).select("key", "size", F.struct(start.alias("a"), (start + size).alias("b")).alias("x"))
-    return met.unionByName(own).groupBy("key", "size").agg(F.array_sort(F.collect_set("x")).alias("spans"))
+    stretches = whole.unionByName(matched).groupBy("f", "c").agg(F.collect_set(F.struct("a", "b", "kind")).alias("s"))
 
+    shifted = F.transform("s", lambda x: F.struct((start + x["a"]).alias("a"), (start + x["b"]).alias("b"), x["kind"].alias("kind")))
+    met = anchors.join(stretches, ["f", "c"]).select("key", "size", F.explode(shifted).alias("x"))
+    own = anchors.where(F.col("f").isNull()).select("key", "size", F.struct(start.alias("a"), (start + size).alias("b"), F.col("c").cast("int").alias("kind")).alias("x"))
+    return met.unionByName(own).groupBy("key", "size").agg(F.collect_set("x").alias("spans"))
 
-def apply_spans(df: DataFrame, spans: DataFrame, text_col: str, schema: str, finish) -> DataFrame:
-    """Each distinct text that has spans, cut: key, size and the columns ``finish`` makes of (text bytes, kept, starts, ends)."""
-    texts = keyed(df, text_col).dropDuplicates(["key", "size"])
-    met = texts.join(spans, ["key", "size"]).select(
-        "key", "size", "text", F.transform("spans", lambda x: x["a"]).alias("a"), F.transform("spans", lambda x: x["b"]).alias("b")
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                rows = []
-                for text, a, b in zip(*(part.column(k) for k in (2, 3, 4))):
-                    data = text.as_py().encode()
-                    starts, ends = merge(a.values.to_numpy(), b.values.to_numpy())
-                    gaps = zip([0, *ends.tolist()], [*starts.tolist(), len(data)])
-                    rows.append(finish(data, b"".join(data[x:y] for x, y in gaps), starts, ends))
-                if rows:
-                    yield pa.RecordBatch.from_pandas(
-                        pd.DataFrame(rows, columns=names).assign(key=part.column(0).to_pandas(), size=part.column(1).to_pandas())[["key", "size", *names]],
-                        preserve_index=False,
-                    )
+def with_spans(df: DataFrame, text_col: str, rule: Rule) -> tuple[DataFrame, Column, Column, list[Column]]:
+    """``df`` with the spans of its texts; the name of the text, whether it has any, and its arguments for a function over them."""
+    spans = materialize(repeated_spans(df, text_col, rule=rule), "spans")
+    key, size, own = fresh_names(df.columns, "cut_key", "cut_size", "cut_spans")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    met = df.join(spans.toDF(key, size, own), (F.xxhash64(text) == F.col(key)) & (F.octet_length(text).cast("long") == F.col(size)), "left")
+    some = F.col(own).isNotNull()
+    lists = [F.col(f"{own}.{k}").cast("array<long>") for k in ("a", "b", "kind")]
+    return met, text, some, [F.when(some, text), *lists]
 
-    names = [x.split()[0] for x in schema.split(", ")]
-    return met.mapInArrow(run, f"key long, size long, {schema}")
 
+def _cut(text, a, b) -> tuple[bytes, bytes, np.ndarray]:
+    data = text.as_py().encode()
+    starts, ends = merge(a, b)
+    gaps = zip([0, *ends.tolist()], [*starts.tolist(), len(data)])
+    return data, b"".join(data[x:y] for x, y in gaps), starts
 
-def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    spans = materialize(repeated_spans(df, text_col), "spans")
-    schema = "n_removed long, n_spans long, cut_sha256 string"
-    finish = lambda data, kept, a, b: (len(data) - len(kept), len(a), hashlib.sha256(kept).hexdigest())
-    cut = apply_spans(df, spans, text_col, schema, finish).withColumnsRenamed({"key": "k_", "size": "s_"})
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(
-        F.col(id_col).cast("long").alias(id_col), F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha")
-    )
-    met = rows.join(cut, (F.col("key") == F.col("k_")) & (F.col("n_bytes") == F.col("s_")), "left")
+
+def _remaining(text: pa.Array, a: pa.Array, b: pa.Array, kind: pa.Array) -> pa.Array:
+    """Texts without all their stretches."""
+    out = [
+        None if x.as_py() is None else _cut(x, starts.values.to_numpy(), ends.values.to_numpy())[1].decode("utf-8", "ignore")
+        for x, starts, ends in zip(text, a, b)
+    ]
+    return pa.array(out, type=pa.string())
+
+
+REPORT = "n_removed long, n_spans long, kept_sha256 string, text string"
+
+
+def _reported(text: pa.Array, a: pa.Array, b: pa.Array, kind: pa.Array) -> pa.Array:
+    """What the stretches of bytes remove, and the text without all stretches."""
+    out = []
+    for x, starts, ends, kinds in zip(text, a, b, kind):
+        if x.as_py() is None:
+            out.append(None)
+            continue
+        starts, ends, of_bytes = starts.values.to_numpy(), ends.values.to_numpy(), kinds.values.to_numpy() == 0
+        data, kept, merged = _cut(x, starts[of_bytes], ends[of_bytes])
+        rest = _cut(x, starts, ends)[1].decode("utf-8", "ignore")
+        out.append({"n_removed": len(data) - len(kept), "n_spans": len(merged), "kept_sha256": hashlib.sha256(kept).hexdigest(), "text": rest})
+    kinds = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "text": pa.string()}
+    return pa.array(out, type=pa.struct(list(kinds.items())))
+
+
+def substring_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS) -> DataFrame:
+    """Per document: id, n_bytes, n_removed, n_spans, kept_sha256 for strings of ``LENGTH`` bytes; then ``text``, what remains
+    without those and without repeated passages of ``words`` words, and n_kept, its bytes.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
+    met, text, some, arguments = with_spans(rows, "text", Rule(words=words))
+    cut = F.arrow_udf(_reported, REPORT)(*arguments)
+    found = met.select(id_col, text.alias("whole"), some.alias("some"), cut.alias("cut"))
     zero = F.lit(0).cast("long")
-    return met.select(
-        id_col, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "sha").alias("kept_sha256")
+    rest = F.when(F.col("some"), F.col("cut.text")).otherwise(F.col("whole"))
+    return found.select(
+        id_col,
+        F.octet_length("whole").cast("long").alias("n_bytes"),
+        F.coalesce("cut.n_removed", zero).alias("n_removed"),
+        F.coalesce("cut.n_spans", zero).alias("n_spans"),
+        F.coalesce("cut.kept_sha256", F.sha2("whole", 256)).alias("kept_sha256"),
+        rest.alias("text"),
+        F.octet_length(rest).cast("long").alias("n_kept"),
     )
 
 
@@ -534,15 +694,11 @@ def remove_repeats(df: DataFrame, text_col: str = "text", words: int = 0) -> Dat
 
     With ``words``, a repeat of that many words or more is taken out too, however few bytes it has.
     """
-    spans = materialize(repeated_spans(df, text_col), "spans")
-    if words:
-        shorter = materialize(repeated_spans(df, text_col, rule=Words(words)), "spans-words")
-        spans = spans.unionByName(shorter).groupBy("key", "size").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    cut = apply_spans(df, spans, text_col, "kept_text string", lambda data, kept, a, b: (kept.decode("utf-8", "ignore"),))
-    cut = cut.toDF("cut_key_", "cut_size_", "cut_text_")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    met = df.join(cut, (F.xxhash64(text) == F.col("cut_key_")) & (F.octet_length(text).cast("long") == F.col("cut_size_")), "left")
-    return met.select(*[F.coalesce("cut_text_", text_col).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    met, _, some, arguments = with_spans(df, text_col, Rule(words=words))
+    new, any_ = fresh_names(met.columns, "cut_text", "cut_any")
+    cut = met.select(*[F.col(f"`{c}`") for c in df.columns], some.alias(any_), F.arrow_udf(_remaining, "string")(*arguments).alias(new))
+    whole = F.when(F.col(any_), F.col(new)).otherwise(F.col(f"`{text_col}`"))
+    return cut.select(*[whole.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

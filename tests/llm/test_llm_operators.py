@@ -228,33 +228,56 @@ def test_components(spark):
     assert found == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7}
 
 
+def _span_rows(spark, texts, **options):
+    """For each text, the bytes that the operator covers, by kind."""
+    df = make(spark, list(enumerate(texts)))
+    spans = {(r["key"], r["size"]): r["spans"] for r in substring_dedup.repeated_spans(df, **options).collect()}
+    out = []
+    for r, t in zip(substring_dedup.keyed(df, "text").collect(), texts):
+        have = np.zeros((2, len((t or "").encode())), dtype=bool)
+        for s in spans.get((r["key"], r["size"]), []):
+            have[s["kind"], s["a"] : s["b"]] = True
+        out.append(have)
+    return out
+
+
+def _wanted_rows(texts, length, words):
+    """The same by brute force: every window of bytes, and every window of words, trimmed and shorter than ``length``."""
+    count, places = defaultdict(int), []
+    for t in texts:
+        b = (t or "").encode()
+        own = [(0, i, i + length) for i in range(len(b) - length + 1)]
+        ends = []
+        for m in re.finditer(rb"[^ \t\n\v\f\r]+", b):
+            x, y = m.span()
+            letters = [k for k in range(x, y) if b[k] >= 128 or chr(b[k]).isalnum()]
+            ends.append((letters[0], letters[-1] + 1) if letters else (x, y))
+        own += [(1, ends[i][0], ends[i + words - 1][1]) for i in range(len(ends) - words + 1) if words]
+        own = [w for w in own if w[0] == 0 or w[2] - w[1] < length]
+        for kind, x, y in own:
+            count[kind, b[x:y]] += 1
+        places.append((b, own))
+    out = []
+    for b, own in places:
+        want = np.zeros((2, len(b)), dtype=bool)
+        for kind, x, y in own:
+            if count[kind, b[x:y]] > 1:
+                want[kind, x:y] = True
+        out.append(want)
+    return out
+
+
 @pytest.mark.parametrize("group", [substring_dedup.GROUP, 1])
 def test_substrings(spark, group):
     random.seed(8)
     fill = lambda n: "".join(random.choices("abcdefgh é", k=n))
     passage, other = fill(500), fill(450)
     texts = [fill(300) + passage + fill(100), passage + fill(700), None, "", fill(399), fill(900), other + fill(30) + other, "ab" * 600, fill(80) + passage[20:480] + fill(90)]
-    texts += [texts[5]]
-    rows = list(enumerate(texts))
-    df = make(spark, rows)
-    count = defaultdict(int)
-    data = [(t or "").encode() for t in texts]
-    for b in data:
-        for i in range(len(b) - 399):
-            count[b[i : i + 400]] += 1
-    spans = substring_dedup.repeated_spans(df, group=group)
-    cut = {(r["key"], r["size"]): r["spans"] for r in spans.collect()}
-    keys = [(r["key"], r["size"]) for r in substring_dedup.keyed(df, "text").collect()]
-    for k, b in zip(keys, data):
-        bad = np.zeros(len(b), dtype=bool)
-        for i in range(len(b) - 399):
-            if count[b[i : i + 400]] > 1:
-                bad[i : i + 400] = True
-        got = np.zeros(len(b), dtype=bool)
-        for s in cut.get(k, []):
-            got[s["a"] : s["b"]] = True
-        assert (got == bad).all()
+    texts += [texts[5], "x" * 900, "." * 700 + "q" + "-" * 30 + "y" * 380, " " * 800, "z" * 40 + "." * 700 + "r" + "-" * 30 + "y" * 380]
+    for have, want in zip(_span_rows(spark, texts, group=group), _wanted_rows(texts, 400, 0)):
+        assert (have == want).all()
     if group > 1:
+        df = make(spark, list(enumerate(texts)))
         kept = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(df).collect()}
         assert kept[2] is None and kept[3] == "" and kept[5] == kept[9] == "" and kept[4] == texts[4]
         assert substring_dedup.substring_report(df.limit(0)).count() == 0
@@ -274,44 +297,95 @@ def test_substrings_of_words(spark, group):
         passage + " " + prose(12), prose(4) + " " + fifty + "x " + prose(70),
     ]
     texts += [texts[8]]
-    df = make(spark, list(enumerate(texts)))
-    words = [[m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", (t or "").encode())] for t in texts]
-    count, places = defaultdict(int), []
-    for t, found in zip(texts, words):
-        b = (t or "").encode()
-        ends = [(x + len(b[x:y]) - len(b[x:y].lstrip(b"(),.")), x + len(b[x:y].rstrip(b"(),."))) for x, y in found]
-        places.append([(ends[i][0], ends[i + 50][1]) for i in range(len(ends) - 50)])
-        for x, y in places[-1]:
-            count[b[x:y]] += 1
-    rule = substring_dedup.Words(51)
-    got = {(r["key"], r["size"]): r["spans"] for r in substring_dedup.repeated_spans(df, group=group, rule=rule).collect()}
-    for r, t, own in zip(substring_dedup.keyed(df, "text").collect(), texts, places):
-        b = (t or "").encode()
-        want, have = np.zeros(len(b), dtype=bool), np.zeros(len(b), dtype=bool)
-        for x, y in own:
-            want[x:y] |= count[b[x:y]] > 1 and y - x < 400
-        for s in got.get((r["key"], r["size"]), []):
-            have[s["a"] : s["b"]] = True
-        assert (want == have).all()
+    for have, want in zip(_span_rows(spark, texts, group=group, rule=substring_dedup.Rule(words=51)), _wanted_rows(texts, 400, 51)):
+        assert (have == want).all()
     if group > 1:
-        import corpus_pipeline
-
-        full = df.withColumn("n_chars", F.length("text"))
-        kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.substrings(spark, full, "").collect()}
+        df = make(spark, list(enumerate(texts))).withColumn("cut_key", F.lit(1)).withColumn("cut_text_", F.lit(2))
+        found = substring_dedup.remove_repeats(df, words=51)
+        kept = {r["doc_id"]: r["text"] for r in found.collect()}
+        assert found.columns == df.columns
         assert kept[0] == texts[0].replace(passage, "") and kept[1] == texts[1].replace(passage, "") and kept[4] == kept[8] == ""
         assert [kept[k] for k in (2, 3, 6, 7, 13)] == [texts[k] for k in (2, 3, 6, 7, 13)]
         assert long[20:-20] not in kept[9] and long[20:-20] not in kept[11]
-
-
-def test_windows_of_words_across_segments(monkeypatch):
-    random.seed(12)
-    data = " ".join("".join(random.choices("abcd", k=random.randint(1, 9))) for _ in range(3000)).encode()
-    rule = substring_dedup.Words(51)
-    monkeypatch.setattr(substring_dedup, "SEGMENT", 1000)
-    _, _, starts, ends, _ = substring_dedup.contexts(data, rule)
-    windows = lambda x, y: {(x + a, x + b) for a, b in zip(*(w.tolist() for w in rule.windows(np.frombuffer(data[x:y], dtype=np.uint8), np.array([0, y - x]))))}
-    held = set().union(*(windows(x, y) for x, y in zip(starts.tolist(), ends.tolist())))
-    assert held == windows(0, len(data)) and len(held) > 2900
+        report = {r["doc_id"]: r for r in substring_dedup.substring_report(make(spark, list(enumerate(texts)))).collect()}
+        for k, (t, want) in enumerate(zip(texts, _wanted_rows(texts, 400, 51))):
+            b = np.frombuffer((t or "").encode(), dtype=np.uint8)
+            r = report[k]
+            runs = int((np.diff(np.concatenate([[0], want[0].astype(int)])) == 1).sum())
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(b), int(want[0].sum()), runs)
+            assert r["kept_sha256"] == hashlib.sha256(b[~want[0]].tobytes()).hexdigest()
+            assert r["text"] == b[~want.any(axis=0)].tobytes().decode("utf-8", "ignore") and r["n_kept"] == len(r["text"].encode())
+
+
+def _mutated(rng, passage):
+    """A passage with a few bytes changed, cut at both ends."""
+    x, y = sorted(rng.sample(range(len(passage)), 2))
+    part = list(passage[x:y])
+    for _ in range(rng.randint(0, 3)):
+        if part:
+            part[rng.randrange(len(part))] = rng.choice("ab ")
+    return "".join(part)
+
+
+@pytest.mark.parametrize(("length", "words"), [(80, 13), (64, 0), (120, 20), (120, 40)])
+def test_matching_of_contexts(length, words):
+    """Contexts of one group, many of them alike, against comparing all windows; the suffix array decides, so a wrong one shows."""
+    rng = random.Random(17)
+    rule = substring_dedup.Rule(length, words)
+    wrong = 0
+    for turn in range(12):
+        alphabet = rng.choice(["ab ", "abcdefgh    .", "a"])
+        passages = ["".join(rng.choices(alphabet, k=rng.randint(60, 400))) for _ in range(3)]
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 90))) + _mutated(rng, rng.choice(passages)) + "".join(rng.choices(alphabet, k=rng.randint(0, 90))) for _ in range(14)]
+        parts = [t.encode() for t in texts]
+        want = _wanted_rows(texts, length, words)
+
+        def covered(found):
+            have = [np.zeros((2, len(p)), dtype=bool) for p in parts]
+            for row, a, b, kind in zip(*(x.tolist() for x in found)):
+                have[row][kind, a:b] = True
+            return have
+
+        first, last = np.zeros(len(parts), dtype=np.int64), np.array([len(p) for p in parts])
+        assert all((a == b).all() for a, b in zip(covered(substring_dedup.match_contexts(parts, first, last, rule)), want))
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(substring_dedup, "suffix_array", lambda s: np.arange(len(s))[::-1])
+            wrong += any((a != b).any() for a, b in zip(covered(substring_dedup.match_contexts(parts, first, last, rule)), want))
+    assert wrong > 2
+
+
+def test_windows_belong_to_one_context(monkeypatch):
+    """Every window lies in a context, across segments, and equal windows have equal anchors."""
+    rng = random.Random(12)
+    rule = substring_dedup.Rule(words=51)
+    prose = lambda n: " ".join("".join(rng.choices("abcd.", k=rng.randint(1, 9))) for _ in range(n))
+    shared = prose(400)
+    for size in (1 << 19, 1000):
+        monkeypatch.setattr(substring_dedup, "SEGMENT", size)
+        anchors = defaultdict(set)
+        for text in (prose(900) + " " + shared + " " + prose(80), prose(100) + "\n" + shared[3:] + prose(100), "-" * 3000 + shared):
+            data = text.encode()
+            f, _, starts, ends, first, last = substring_dedup.contexts(data, rule)
+            spans, hold = _wanted_places(data, rule), defaultdict(set)
+            for k, (x, y) in enumerate(zip(starts.tolist(), ends.tolist())):
+                part = [data[x:y]]
+                a, b = substring_dedup.all_windows(part, first[k : k + 1], last[k : k + 1], np.array([0, y - x]), rule)
+                for w in zip((a + x).tolist(), (b + x).tolist()):
+                    hold[w].add(int(f[k]))
+            assert set(hold) == spans
+            for (x, y), own in hold.items():
+                anchors[data[x:y]].add(frozenset(own))
+        assert all(frozenset.intersection(*own) for own in anchors.values())
+
+
+def _wanted_places(data, rule):
+    ends = []
+    for m in re.finditer(rb"[^ \t\n\v\f\r]+", data):
+        x, y = m.span()
+        letters = [k for k in range(x, y) if data[k] >= 128 or chr(data[k]).isalnum()]
+        ends.append((letters[0], letters[-1] + 1) if letters else (x, y))
+    found = {(i, i + rule.length) for i in range(len(data) - rule.length + 1)}
+    return found | {(ends[i][0], ends[i + 50][1]) for i in range(len(ends) - 50) if ends[i + 50][1] - ends[i][0] < rule.length}
 
 
 def test_quality(spark, empty):
