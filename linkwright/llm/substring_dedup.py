@@ -11,12 +11,13 @@ else is reported. How the work is spread:
 2. Anchors that occur once in the corpus are done. Copies of one context are merged
    before any array: a context that occurs twice or more is repeated as a whole. Contexts
    are known by two 64-bit hashes.
-3. The other contexts of a repeated anchor meet in one group. Prefix-free parsing cuts
-   them into overlapping phrases; phrases are ranked by their bytes, so the suffix array
-   of the ranks (linear grouping construction, ``suffix_array``) holds the suffixes at
-   all cuts in byte order. The common prefixes of neighbours, in bytes, then decide which
-   windows are equal from their cut on; the few bytes before the cut are sorted the same
-   way. No window is compared by a hash.
+3. The other contexts of a repeated anchor meet in one group. What stands from the anchor
+   on, and what stands before it, read backwards, are cut into overlapping phrases none of
+   which begins with another; phrases are ranked by their bytes, so the suffix array of the
+   ranks (linear grouping construction, ``suffix_array``) holds both sides in byte order.
+   The common prefixes of neighbours, in bytes, then decide which windows are equal: those
+   that reach as far to either side and stand in one run of neighbours that share as many
+   bytes. No window is compared by a hash.
 4. Covered stretches are merged for each text and taken out of it.
 
 Groups of more than ``GROUP`` contexts do not go to one task: their windows are dealt by
@@ -52,11 +53,11 @@ from .suffix_array import common_prefixes, suffix_array
 LENGTH = 400
 #: A passage of over 50 words is a repeat, however few bytes it has.
 PASSAGE_WORDS = 51
-GROUP = 2_048
+GROUP = 16_384
 SEGMENT = 1 << 19
-BATCH_BYTES = 1 << 21  # of contexts in one suffix array
-TRIGGER = 8  # bytes that decide on a cut
-PERIOD = 20  # mean distance of cuts
+BATCH_BYTES = 1 << 20  # of contexts in one suffix array
+TRIGGER = 4  # bytes that decide on a cut
+PERIOD = 64  # mean bytes of a phrase
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -70,7 +71,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP, _DOWN = _powers(_BASE, 1 << 20), _powers(_INVERSE, 1 << 20)
+_UP, _DOWN = _powers(_BASE, 1 << 21), _powers(_INVERSE, 1 << 21)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -80,7 +81,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of any stretch of a buffer of at most 2 ** 20 - 1 bytes, equal for equal bytes."""
+    """Hashes of any stretch of a buffer of at most 2 ** 21 - 1 bytes, equal for equal bytes."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -135,11 +136,6 @@ class Rule:
     def gram(self) -> int:
         return min(48, self.length // 4, 2 * self.words - 3 if self.words else 48)
 
-    @property
-    def look(self) -> int:
-        """Bytes after the start of a window within which a cut is certain."""
-        return min(88, self.least - TRIGGER - 5)
-
     @property
     def bits(self) -> int:
         """Of a place inside a context."""
@@ -248,12 +244,13 @@ def _segment(data: np.ndarray, own: int, tokens: Tokens, rule: Rule) -> tuple[np
     ends, last = (np.maximum.reduceat(x[order], cut) for x in (ends, last))
     some = last > 0
     first, last = np.where(some, first - starts, 0), np.where(some, last - starts, 0)
-    context = _mix(hasher.stretch(starts, ends) + first.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + last.astype(np.uint64))
-    return hasher.stretch(at, at + gram), context, starts, ends, first, last
+    bounds = (((at - starts) << 32) | (first << 16) | last).astype(np.uint64)
+    context = _mix(hasher.stretch(starts, ends) + bounds * np.uint64(0x9FB21C651E98DF25))
+    return hasher.stretch(at, at + gram), context, starts, ends, first, last, at - starts
 
 
 def contexts(data: bytes, rule: Rule) -> tuple[np.ndarray, ...]:
-    """(anchor, context, start, end, first, last) of a text; first and last bound the windows of words inside the context."""
+    """(anchor, context, start, end, first, last, at) of a text: first and last bound the windows of words inside the context, at is the anchor's place in it."""
     whole = np.frombuffer(data, dtype=np.uint8)
     found = []
     for x in range(0, len(data) if len(data) >= rule.least else 0, SEGMENT):
@@ -263,10 +260,10 @@ def contexts(data: bytes, rule: Rule) -> tuple[np.ndarray, ...]:
         right = min((k for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (k := data.find(c, y)) >= 0), default=len(data)) if y < len(data) else y
         got = _segment(part, SEGMENT, Tokens.of(part, whole[left:x], whole[y:right]), rule)
         if got:
-            f, c, a, b, first, last = got
-            found.append((f, c, a + x, b + x, first, last))
+            f, c, a, b, *rest = got
+            found.append((f, c, a + x, b + x, *rest))
     if not found:
-        return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, *[np.int64] * 4))
+        return tuple(np.empty(0, dtype=t) for t in (np.uint64, np.uint64, *[np.int64] * 5))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -282,7 +279,7 @@ def _place(rule: Rule) -> tuple[Column, Column, Column, Column]:
     return tuple(F.expr(x) for x in (f"shiftright(place, {3 * k})", f"shiftright(place, {2 * k}) & {mask}", f"shiftright(place, {k}) & {mask}", f"place & {mask}"))
 
 
-ANCHORS = "f long, c long, n int, key long, size long, place long"
+ANCHORS = "f long, c long, n int, key long, size long, place long, at int"
 
 
 def list_anchors(texts: DataFrame, rule: Rule) -> DataFrame:
@@ -296,15 +293,16 @@ def list_anchors(texts: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             keys, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for begin in range(0, batch.num_rows, 256):
-                out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
                 valid: list[np.ndarray] = []
 
-                def add(f, c, n, place, who, known):
-                    for column, values in zip(out, (f, c, np.full(len(f), n) if np.isscalar(n) else n)):
+                def add(f, c, n, place, at, who, known):
+                    for column, values in zip(out, (f, c, n)):
                         column.append(values.astype(np.int64))
                     out[3].append(np.full(len(f), keys[who]))
                     out[4].append(np.full(len(f), sizes[who]))
                     out[5].append(place)
+                    out[6].append(at)
                     valid.append(np.full(len(f), known))
 
                 def add_own(starts, ends, kind, who):
@@ -312,14 +310,14 @@ def list_anchors(texts: DataFrame, rule: Rule) -> DataFrame:
                     while len(x):  # a stretch is written in parts that fit the packed size
                         z = np.minimum(x + rule.length, y)
                         zero = np.zeros(len(x), dtype=np.int64)
-                        add(zero, zero + kind, 2, _pack(x, z - x, zero, zero, rule), who, False)
+                        add(zero, zero + kind, zero + 2, _pack(x, z - x, zero, zero, rule), zero, who, False)
                         x, y = z[z < y], y[z < y]
 
                 for who in range(begin, min(begin + 256, batch.num_rows)):
                     seen[keys[who], sizes[who]] += 1
                     if seen[keys[who], sizes[who]] > 2:
                         continue
-                    f, c, a, b, first, last = contexts(batch.column(2)[who].as_py().encode(), rule)
+                    f, c, a, b, first, last, at = contexts(batch.column(2)[who].as_py().encode(), rule)
                     if not len(f):
                         continue
                     order = np.lexsort((c, f))
@@ -332,12 +330,12 @@ def list_anchors(texts: DataFrame, rule: Rule) -> DataFrame:
                         add_own(a[long], b[long], 0, who)
                         add_own(a[some] + first[some], a[some] + last[some], 1, who)
                     one = order[starts]
-                    add(f[one].view(np.int64), c[one].view(np.int64), np.minimum(count, 2), _pack(a[one], (b - a)[one], first[one], last[one], rule), who, True)
+                    add(f[one].view(np.int64), c[one].view(np.int64), np.minimum(count, 2), _pack(a[one], (b - a)[one], first[one], last[one], rule), at[one], who, True)
                 if valid:
                     columns = [np.concatenate(c) for c in out]
                     arrays = [pa.array(columns[0], mask=~np.concatenate(valid)), pa.array(columns[1]), pa.array(columns[2], type=pa.int32())]
-                    arrays += [pa.array(c) for c in columns[3:]]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["f", "c", "n", "key", "size", "place"])
+                    arrays += [*(pa.array(c) for c in columns[3:6]), pa.array(columns[6], type=pa.int32())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["f", "c", "n", "key", "size", "place", "at"])
 
     return texts.mapInArrow(run, ANCHORS)
 
@@ -356,7 +354,7 @@ def _fold(anchors: DataFrame, rows: int = 400_000) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (c[1:] != c[:-1])]))
             total = np.minimum(np.add.reduceat(n, start), 2).astype(np.int32)
             columns = [f[start], c[start], total, *(x[start] for x in rest)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["f", "c", "n", "key", "size", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["f", "c", "n", "key", "size", "place", "at"])
 
         for batch in batches:
             if batch.num_rows:
@@ -406,95 +404,85 @@ def all_windows(parts: list[bytes], first: np.ndarray, last: np.ndarray, base: n
     return starts, ends
 
 
-def equal_windows(parts: list[bytes], starts: np.ndarray, ends: np.ndarray, base: np.ndarray, rule: Rule) -> np.ndarray:
-    """True for each window whose bytes another window repeats; decided by the order of the contexts' suffixes."""
-    raw = b"".join(parts)
+def byte_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each string in byte order (equal ones share it), and the bytes that the string at a place shares with the one before it.
+
+    The order is that of the suffix array of the strings' phrases, read at the first phrase of each string.
+    """
+    number = {string: k for k, string in enumerate(dict.fromkeys(strings))}
+    raw = b"".join(number)
     data = np.frombuffer(raw, dtype=np.uint8)
-    n = len(data)
-    places = np.arange(n)
-    of = np.repeat(np.arange(len(parts)), np.diff(base))
-    end_of = base[1:][of]
+    base = np.concatenate([[0], np.cumsum([len(x) for x in number])]).astype(np.int64)
 
-    # Cuts: where the next bytes hash to a chosen value, and every place that has had no such cut for ``look`` bytes.
-    value = np.zeros(n, dtype=np.uint64)
+    # A phrase starts with its string or where the next bytes hash to a chosen value, and ends behind the next such bytes.
+    value = np.zeros(len(data), dtype=np.uint32)
     for k in range(TRIGGER):
-        value[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
-    room = places + TRIGGER <= end_of
-    trigger = room & ((_mix(value) >> np.uint64(32)) % np.uint64(PERIOD) == 0)
-    latest = np.concatenate([[-1], np.maximum.accumulate(np.where(trigger, places, -1))[:-1]])
-    is_cut = trigger | (room & (places - np.maximum(latest + 1, base[:-1][of]) >= rule.look))
-    cuts = np.flatnonzero(is_cut)
-    if not len(cuts):
-        return np.zeros(len(starts), dtype=bool)
-
-    # Phrases overlap by the bytes that decide on a cut, so none begins with another one; the last of a context ends like no other.
-    tail = np.append(of[cuts[1:]] != of[cuts[:-1]], True)
-    stops = np.where(tail, end_of[cuts], np.append(cuts[1:], 0) + TRIGGER)
+        value[: len(data) - k] |= data[k:].astype(np.uint32) << np.uint32(8 * k)
+    value *= np.uint32(0x9E3779B1)
+    chosen = np.flatnonzero(value < np.uint32((1 << 32) // PERIOD))
+    chosen = chosen[chosen + TRIGGER <= base[np.searchsorted(base, chosen, "right")]]
+    cuts = np.union1d(base[:-1], chosen)
+    of = np.searchsorted(base, cuts, "right") - 1
+    end_of = base[1:][of]
+    tail = np.append(of[1:] != of[:-1], True)
+    stops = np.where(tail, end_of, np.append(cuts[1:], 0) + TRIGGER)
+    # The last phrase of a string ends like no other, so none begins with another one.
     names = [(raw[a:b], 0, k) if t else (raw[a:b], 1, 0) for k, (a, b, t) in enumerate(zip(cuts.tolist(), stops.tolist(), tail.tolist()))]
     rank = {name: k for k, name in enumerate(sorted(set(names)), 1)}
     symbols = np.array([*map(rank.__getitem__, names), 0])
     order = suffix_array(symbols)
     shared = common_prefixes(symbols, order)
-    at, until = np.append(cuts, n), np.append(end_of[cuts], n)
-    low, high, alike = order[:-1], order[1:], shared[1:]
-    x, y = at[np.minimum(low + alike, len(cuts))], at[high + alike]
-    limit = np.minimum(until[low] - x, until[high] - y)
-    common = np.zeros(len(order) + 1, dtype=np.int64)  # bytes shared with the suffix before
-    common[1:-1] = y - at[high] + _same_bytes(data, x, y, limit)
-    place_of = np.empty(len(order), dtype=np.int64)
-    place_of[order] = np.arange(len(order))
-
-    # A window belongs to the first cut that its own bytes show; it may have an equal if a neighbour shares the bytes from there on.
-    following = np.minimum.accumulate(np.where(trigger, places, _FAR)[::-1])[::-1]
-    cut = np.minimum(following[starts], starts + rule.look)
-    number = np.cumsum(is_cut) - 1
-    own = number[cut]
-    back, ahead = cut - starts, ends - cut
-    its_place = place_of[own]
-    maybe = np.flatnonzero(np.maximum(common[its_place], common[its_place + 1]) >= ahead)
-    hit = np.zeros(len(starts), dtype=bool)
-    if not len(maybe):
-        return hit
-    own, back, ahead, its_place = own[maybe], back[maybe], ahead[maybe], its_place[maybe]
-
-    # The bytes before a cut, nearest first, in order.
-    used, own = np.unique(own, return_inverse=True)
-    wide = -(-rule.look // 8) * 8
-    padded = np.concatenate([np.zeros(wide, dtype=np.uint8), data])
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, wide)[cuts[used]][:, ::-1])
-    before = np.lexsort(rows.view(">u8").astype(np.uint64).T[::-1])
-    differ = rows[before][1:] != rows[before][:-1]
-    common_before = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), wide)])
-    place_before = np.empty(len(used), dtype=np.int64)
-    place_before[before] = np.arange(len(used))
-    place_before = place_before[own]
-
-    # Suffixes that share that many bytes stand together, so equal windows have equal numbers of their runs on both sides.
-    def runs(lengths: np.ndarray, shared: np.ndarray, place: np.ndarray) -> np.ndarray:
+
+    opens = np.append(np.concatenate([[True], tail[:-1]]), False)
+    at = np.flatnonzero(opens[order])  # strings, in order
+    first = order[at]
+    place = np.empty(len(number), dtype=np.int64)
+    place[of[first]] = np.arange(len(number))
+    common = np.zeros(len(number), dtype=np.int64)
+    if len(number) > 1:
+        phrases = np.minimum.reduceat(shared[: at[-1] + 1], at[:-1] + 1)
+        low, high = first[:-1], first[1:]
+        x, y = cuts[low + phrases], cuts[high + phrases]
+        common[1:] = y - cuts[high] + _same_bytes(data, x, y, np.minimum(end_of[low] - x, end_of[high] - y))
+    return place[[number[x] for x in strings]], common
+
+
+def equal_windows(parts: list[bytes], at: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """True for each window whose bytes another window repeats; ``at``: the anchors, which stand alike in equal windows."""
+    split = list(zip(parts, at.tolist()))
+    place_ahead, common_ahead = byte_order([p[a:] for p, a in split])
+    place_behind, common_behind = byte_order([p[a::-1] for p, a in split])
+    of = np.searchsorted(base, starts, "right") - 1
+    anchor = (base[:-1] + at)[of]
+    ahead, behind = ends - anchor, anchor - starts + 1
+
+    # Strings that share that many bytes stand together, so equal windows have equal numbers of their runs on both sides.
+    def runs(lengths: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = np.empty(len(lengths), dtype=np.uint64)
         by = np.argsort(lengths, kind="stable")
         first, last = _runs(lengths[by])
         for a, b in zip(first.tolist(), last.tolist()):
             here = by[a : b + 1]
-            out[here] = np.cumsum(shared < lengths[here[0]])[place[here]]
+            out[here] = np.cumsum(common < lengths[here[0]])[place[here]]
         return out
 
-    key = (back.astype(np.uint64) << np.uint64(9)) | ahead.astype(np.uint64)
-    key = (key << np.uint64(24)) | runs(ahead, common[:-1], its_place)
-    key = (key << np.uint64(24)) | runs(back, common_before, place_before)
+    key = (behind.astype(np.uint64) << np.uint64(9)) | ahead.astype(np.uint64)
+    key = (key << np.uint64(23)) | runs(ahead, common_ahead, place_ahead[of])
+    key = (key << np.uint64(23)) | runs(behind, common_behind, place_behind[of])
     by = np.argsort(key, kind="stable")
     same = key[by][1:] == key[by][:-1]
-    hit[maybe[by]] = np.append(same, False) | np.concatenate([[False], same])
+    hit = np.zeros(len(starts), dtype=bool)
+    hit[by] = np.append(same, False) | np.concatenate([[False], same])
     return hit
 
 
-def match_contexts(parts: list[bytes], first: np.ndarray, last: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
+def match_contexts(parts: list[bytes], at: np.ndarray, first: np.ndarray, last: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
     """(context, start, end, kind) of the stretches that another window repeats; kind 0: of bytes, 1: of words."""
     base = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
     starts, ends = all_windows(parts, first, last, base, rule)
     if not len(starts):
         return (np.empty(0, dtype=np.int64),) * 4
-    hit = equal_windows(parts, starts, ends, base, rule)
+    hit = equal_windows(parts, at, starts, ends, base)
     out = []
     for kind in (0, 1):
         mine = hit & ((ends - starts < rule.length) == bool(kind))
@@ -514,25 +502,25 @@ def merge_windows(starts: np.ndarray, ends: np.ndarray, base: np.ndarray) -> tup
 
 
 def fetch(wanted: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Bytes of the wanted contexts: f, c, first, last, data. ``wanted``: f, c, key, size, place."""
+    """Bytes of the wanted contexts: f, c, at, first, last, data. ``wanted``: f, c, key, size, place, at."""
     start, size, first, last = _place(rule)
-    item = F.struct("f", "c", start.alias("a"), size.alias("k"), first.alias("first"), last.alias("last"))
+    item = F.struct("f", "c", "at", start.alias("a"), size.alias("k"), first.alias("first"), last.alias("last"))
     lists = wanted.groupBy("key", "size").agg(F.collect_list(item).alias("list"))
     once = texts.dropDuplicates(["key", "size"])
     met = once.join(lists, ["key", "size"]).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 rows = []
                 for text, items in zip(batch.column(0).slice(begin, 128), batch.column(1).slice(begin, 128).to_pylist()):
                     data = text.as_py().encode()
-                    rows += [(x["f"], x["c"], x["first"], x["last"], data[x["a"] : x["a"] + x["k"]]) for x in items]
+                    rows += [(x["f"], x["c"], x["at"], x["first"], x["last"], data[x["a"] : x["a"] + x["k"]]) for x in items]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["f", "c", "first", "last", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["f", "c", "at", "first", "last", "data"])
 
-    return met.mapInArrow(run, "f long, c long, first int, last int, data binary")
+    return met.mapInArrow(run, "f long, c long, at int, first int, last int, data binary")
 
 
 MATCHES = "f long, c long, a int, b int, kind int"
@@ -544,8 +532,8 @@ def match_groups(found: DataFrame, rule: Rule) -> DataFrame:
 
     def result(held: list[pa.Table]) -> pa.RecordBatch:
         table = pa.concat_tables(held)
-        f, c, first, last = (table.column(k).to_numpy() for k in range(4))
-        row, a, b, kind = match_contexts(table.column(4).to_pylist(), first, last, rule)
+        f, c, at, first, last = (table.column(k).to_numpy() for k in range(5))
+        row, a, b, kind = match_contexts(table.column(5).to_pylist(), at, first, last, rule)
         return pa.RecordBatch.from_arrays([pa.array(f[row]), pa.array(c[row]), *(pa.array(x.astype(np.int32)) for x in (a, b, kind))], names=["f", "c", "a", "b", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -571,8 +559,8 @@ def oversized(found: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 part = batch.slice(begin, 64)
-                parts = part.column(4).to_pylist()
-                f, c, first, last = (part.column(k).to_numpy() for k in range(4))
+                parts = part.column(5).to_pylist()
+                f, c, _, first, last = (part.column(k).to_numpy() for k in range(5))
                 base = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
                 starts, ends = all_windows(parts, first, last, base, rule)
                 h = Hasher(np.frombuffer(b"".join(parts), dtype=np.uint8)).stretch(starts, ends)
@@ -598,7 +586,7 @@ def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP, ru
     texts = keyed(df, text_col).where(F.col("size") >= rule.least)
     anchors = materialize(list_anchors(texts, rule), "anchors")
     folded = _fold(anchors).groupBy("f", "c").agg(
-        F.sum("n").alias("n"), F.min(F.struct("key", "size", "place")).alias("rep")
+        F.sum("n").alias("n"), F.min(F.struct("key", "size", "place", "at")).alias("rep")
     )
     per_anchor = folded.groupBy("f").agg(F.count(F.lit(1)).alias("variants"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single"), F.sum("n").alias("total"))
     repeated = folded.join(per_anchor.where(F.col("total") > 1), "f")

@@ -31,9 +31,26 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     high = n
     while high > 0:
         low = group[place[high - 1]]
+        if high - low == 1:  # a group of one moves one suffix at most
+            i = place[low]
+            high = low
+            j = i - 1
+            while j >= 0 and group[j] >= low:
+                j = left[j]
+            left[i] = j
+            if j >= 0:
+                start = group[j]
+                end = end_of[start]
+                new = end - 1
+                if new != start:
+                    other, from_ = place[new], where[j]
+                    place[from_], where[other] = other, from_
+                    place[new], where[j] = j, new
+                    group[j] = new
+                    end_of[start], end_of[new] = new, end
+            continue
         members = place[low:high]
-        if high - low > 1:
-            members.sort()
+        members.sort()
         found: dict[int, int] = {}
         for i in members:
             j = i - 1
@@ -43,6 +60,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
             if j >= 0:
                 found[j] = found.get(j, 0) + 1
         high = low
+        if not found:
+            continue
         by_times: dict[int, dict[int, list[int]]] = {}
         for j, times in found.items():
             by_times.setdefault(times, {}).setdefault(group[j], []).append(j)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -327,33 +328,52 @@ def _mutated(rng, passage):
     return "".join(part)
 
 
-@pytest.mark.parametrize(("length", "words"), [(80, 13), (64, 0), (120, 20), (120, 40)])
+def _covered(texts, rule):
+    """What one task would find, with the contexts of all anchors in one suffix array for each side."""
+    have = [np.zeros((2, len(t.encode())), dtype=bool) for t in texts]
+    rows = sorted((int(f), int(c), k, *map(int, rest)) for k, t in enumerate(texts) for f, c, *rest in zip(*substring_dedup.contexts(t.encode(), rule)))
+    times = Counter(r[:2] for r in rows)
+    for _, _, k, a, b, first, last, _ in (r for r in rows if times[r[:2]] > 1):
+        have[k][0, a : b if b - a >= rule.length else a] = True
+        have[k][1, a + first : a + last] = True
+    rows = list({r[:2]: r for r in rows}.values())
+    parts = [texts[r[2]].encode()[r[3] : r[4]] for r in rows]
+    first, last, at = (np.array([r[k] for r in rows], dtype=np.int64) for k in (5, 6, 7))
+    for n, a, b, kind in zip(*(x.tolist() for x in substring_dedup.match_contexts(parts, at, first, last, rule))):
+        have[rows[n][2]][kind, rows[n][3] + a : rows[n][3] + b] = True
+    return have
+
+
+@pytest.mark.parametrize(("length", "words"), [(80, 13), (64, 0), (120, 20), (120, 40), (400, 51)])
 def test_matching_of_contexts(length, words):
-    """Contexts of one group, many of them alike, against comparing all windows; the suffix array decides, so a wrong one shows."""
+    """Texts with many copies and near copies against comparing all windows; the suffix array decides, so a wrong one shows."""
     rng = random.Random(17)
     rule = substring_dedup.Rule(length, words)
     wrong = 0
     for turn in range(12):
-        alphabet = rng.choice(["ab ", "abcdefgh    .", "a"])
-        passages = ["".join(rng.choices(alphabet, k=rng.randint(60, 400))) for _ in range(3)]
-        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 90))) + _mutated(rng, rng.choice(passages)) + "".join(rng.choices(alphabet, k=rng.randint(0, 90))) for _ in range(14)]
-        parts = [t.encode() for t in texts]
+        alphabet = ["ab ", "abcdefgh    .", "a", "a ."][turn % 4]
+        fill = lambda low, high: "".join(rng.choices(alphabet, k=rng.randint(low, high)))  # noqa: E731, B023
+        passages = [fill(60, 5 * length) for _ in range(3)]
+        texts = [fill(0, 90) + _mutated(rng, rng.choice(passages)) + fill(0, 90) for _ in range(14)]
         want = _wanted_rows(texts, length, words)
-
-        def covered(found):
-            have = [np.zeros((2, len(p)), dtype=bool) for p in parts]
-            for row, a, b, kind in zip(*(x.tolist() for x in found)):
-                have[row][kind, a:b] = True
-            return have
-
-        first, last = np.zeros(len(parts), dtype=np.int64), np.array([len(p) for p in parts])
-        assert all((a == b).all() for a, b in zip(covered(substring_dedup.match_contexts(parts, first, last, rule)), want))
+        assert all((a == b).all() for a, b in zip(_covered(texts, rule), want))
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(substring_dedup, "suffix_array", lambda s: np.arange(len(s))[::-1])
-            wrong += any((a != b).any() for a, b in zip(covered(substring_dedup.match_contexts(parts, first, last, rule)), want))
+            wrong += any((a != b).any() for a, b in zip(_covered(texts, rule), want))
     assert wrong > 2
 
 
+def test_byte_order():
+    rng = random.Random(3)
+    for alphabet in ("ab", "abcdefgh ", "a"):
+        strings = ["".join(rng.choices(alphabet, k=rng.randint(1, 300))).encode() for _ in range(40)]
+        strings += [s[:k] + rng.choice(strings)[:k] for s in strings[:30] for k in (20, 150)] + strings[:5]
+        place, common = substring_dedup.byte_order(strings)
+        ordered = sorted(set(strings))
+        assert [ordered[k] for k in place.tolist()] == strings
+        assert common.tolist() == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(ordered, ordered[1:])]
+
+
 def test_windows_belong_to_one_context(monkeypatch):
     """Every window lies in a context, across segments, and equal windows have equal anchors."""
     rng = random.Random(12)
@@ -365,7 +385,7 @@ def test_windows_belong_to_one_context(monkeypatch):
         anchors = defaultdict(set)
         for text in (prose(900) + " " + shared + " " + prose(80), prose(100) + "\n" + shared[3:] + prose(100), "-" * 3000 + shared):
             data = text.encode()
-            f, _, starts, ends, first, last = substring_dedup.contexts(data, rule)
+            f, _, starts, ends, first, last, _ = substring_dedup.contexts(data, rule)
             spans, hold = _wanted_places(data, rule), defaultdict(set)
             for k, (x, y) in enumerate(zip(starts.tolist(), ends.tolist())):
                 part = [data[x:y]]
