@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges``: a, b (any one type). Returns node, root: the smallest node of its component.
 
     Alternates two steps until nothing changes: every larger neighbour of a node
     moves to the node's smallest neighbour, then every smaller one does. A node's
     neighbours are never gathered; only their minimum is taken, by an aggregation
-    that combines before the shuffle. Each step is written to the shared folder.
+    that combines before the shuffle. Each step is written to the shared folder, and so
+    are the minima: the join back to the edges then reads two tables, and adaptive
+    execution can split the edges of a node that has very many.
     """
 
     def hook(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -22,6 +24,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if larger:
             both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = materialize(least, "least")
         joined = both.join(least, F.col("u") == F.col("w"))
         if larger:
             moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -35,12 +38,10 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     now = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = state(now)
-    for _ in range(rounds):
+    while True:
         now = materialize(hook(hook(now, larger=True), larger=False), "edges")
         if (found := state(now)) == seen:
             break
         seen = found
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -23,17 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import fresh_names, read_table
+from .shared import fresh_names, read_table, row_key
 
 WINDOW = 3
 
 
-def row_key(id_col: str, text_col: str):
-    """128-bit identity of a document: its id and its text."""
-    parts = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col).isNull().cast("string"), text_col)
-    return F.unhex(F.md5(parts))
-
-
 def repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, at) of every window that is not the first of its kind."""
     rows = df.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("doc"), F.split(F.col(text_col), "\n").alias("lines"))

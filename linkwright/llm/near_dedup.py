@@ -7,22 +7,24 @@ and a longer sketch of ``SKETCH`` one-byte min-hashes.
 Candidates. The signature is split into chunks of four symbols. Two signatures at
 distance ``LIMIT`` (in symbols) or less have, by pigeonhole, a chunk with at most
 two differing symbols; each chunk therefore emits the keys that leave out every
-choice of two symbols, and all pairs within the distance share a key. A pair at
-the threshold similarity 0.75 misses all keys with probability 3e-7.
-
-Links. Inside a bucket the sketches are compared in blocks; a pair may be similar
-if it agrees on ``AGREE`` bytes (a pair at 0.75 falls short with probability
-3e-6) and its set sizes allow it. No pairs of a bucket are listed. First each
-class proposes its best partner and the centre of its bucket; these are confirmed
-on full shingle sets and joined to components. Then, for each class that may be
-similar to a class of another component, each bucket emits one list of those
-components; the lists of a class are merged, and the class is compared, exactly,
-with all members of each component through an inverted index. So no link between
-components is lost. Classes of a large group of near copies that join nothing are
-compared with each other; their rows are (class, component) pairs, dealt in blocks.
-
-Bounds: buckets and components are dealt in blocks of ``BLOCK`` rows, so a task
-holds two blocks at most; a bucket of more rows meets itself block by block.
+choice of two symbols, and all pairs within the distance share a key. Classes that
+share a key are candidates if their signatures are at distance ``LIMIT`` or less. A
+pair at the threshold similarity 0.75 is further apart with probability 3e-7.
+
+Links. A candidate is compared only if the set sizes allow it and the sketches agree
+on ``AGREE`` bytes (a pair at 0.75 falls short with probability 3e-6). No pairs of a
+bucket are listed. First each class proposes its best partner and the centre of its
+bucket; these are confirmed on full shingle sets and joined to components. A large
+bucket is dealt into blocks for that, each row into one; the blocks differ from key to
+key. Then, in each bucket that holds several components, the classes outside its most
+frequent component meet all others, and each bucket emits, for each class, one list of
+the other components it has a candidate in; the lists of a class are merged, and the
+class is compared, exactly, with all members of each component through an inverted
+index. So no link between components is lost, and a group of near copies that hangs
+together after the first step is never compared with itself.
+
+Bounds: a task holds a block of ``BLOCK`` rows and, in the second step, the rows of its
+bucket outside the most frequent component, which go to every block of the bucket.
 
 Defined results: words are lower-cased in A-Z only and split at ASCII white space;
 a null, empty or blank text has no shingle, links with nothing and is its own
@@ -46,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, read_table, sorted_groups
+from .shared import fresh_names, materialize, read_table, row_key, sorted_groups
 
 WORDS = 5
 PERCENT = 75
@@ -118,7 +120,7 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if len(found):
                         values = _finish(min_hashes(found))
                         nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                        signatures.append((values[:SYMBOLS] >> np.uint64(32 - BITS)).astype(np.int64).tolist())
+                        signatures.append((values[:SYMBOLS] >> np.uint64(32 - BITS)).astype("<u4").tobytes())
                         sketches.append((values[SYMBOLS:] & np.uint64(255)).astype(np.uint8).tobytes())
                     else:
                         nodes.append(None)
@@ -130,18 +132,14 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         part.column(1),
                         pa.array(nodes, type=pa.binary()),
                         pa.array(sizes, type=pa.int64()),
-                        pa.array(signatures, type=pa.list_(pa.int64())),
+                        pa.array(signatures, type=pa.binary()),
                         pa.array(sketches, type=pa.binary()),
                     ],
                     names=["id", "row", "node", "n", "signature", "sketch"],
                 )
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), _row(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, row long, node binary, n long, signature array<long>, sketch binary")
-
-
-def _row(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, row binary, node binary, n long, signature binary, sketch binary")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -149,39 +147,39 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     keys = []
     for c in range(SYMBOLS // CHUNK):
         for kept in combinations(range(c * CHUNK, (c + 1) * CHUNK), CHUNK - ERRORS):
-            keys.append(F.xxhash64(F.lit("-".join(map(str, kept))), *(F.get("signature", F.lit(k)) for k in kept)))
+            keys.append(F.xxhash64(F.lit("-".join(map(str, kept))), *(F.substring("signature", 4 * k + 1, 4) for k in kept)))
     return classes.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """Members of every bucket with two classes or more, in blocks: key, part, node, n, sketch."""
+    """Members of every bucket with two classes or more: key, part, node, n, signature, sketch; a large bucket is dealt into parts."""
     keys = chunk_keys(classes)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    members = keys.join(sizes, "key").join(classes.select("node", "n", "sketch"), "node")
-    # A large bucket is cut into g blocks; a class goes to the g pairs of blocks that hold its own.
-    g = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "key"), g).cast("int")
-    pair = F.when(g > 1, F.transform(F.sequence(F.lit(0), g - 1), lambda j: F.least(own, j) * g + F.greatest(own, j)))
-    parts = F.explode(F.coalesce(pair, F.array(F.lit(0)))).alias("part")
-    return members.select("key", parts, "node", "n", "sketch")
+    members = keys.join(sizes, "key").join(classes.select("node", "n", "signature", "sketch"), "node")
+    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("part")
+    return members.select("key", part, "node", "n", "signature", "sketch")
 
 
-def _maybe_similar(table: pa.Table) -> tuple[list, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
-    """Nodes, sizes and, by blocks of lines, (first line, agreeing bytes, allowed pairs)."""
-    nodes = table.column("node").to_pylist()
-    sizes = table.column("n").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+class _Members:
+    """Classes of a block and which of them are candidates for each other."""
 
-    def lines() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        step = max(1, (1 << 22) // max(1, len(nodes) * SKETCH)) if len(nodes) > 180 else len(nodes)
-        for start in range(0, len(nodes), step):
-            part = slice(start, start + step)
-            same = (sketch[part, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16)
-            fits = (100 * np.minimum(sizes[part, None], sizes[None]) >= PERCENT * np.maximum(sizes[part, None], sizes[None])) & (same >= AGREE)
-            fits[np.arange(len(same)), np.arange(start, start + len(same))] = False
-            yield start, same, fits
+    def __init__(self, table: pa.Table):
+        self.nodes = table.column("node").to_pylist()
+        self.sizes = table.column("n").to_numpy()
+        self.signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype="<u4").reshape(-1, SYMBOLS)
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
 
-    return nodes, sizes, lines()
+    def against_all(self, lines: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By blocks of ``lines``: the lines, agreeing bytes of the sketches, candidates."""
+        step = max(1, (1 << 22) // max(1, len(self.nodes) * SKETCH))
+        for k in range(0, len(lines), step):
+            part = lines[k : k + step]
+            apart = (self.signature[part, None, :] != self.signature[None, :, :]).sum(axis=2, dtype=np.int16)
+            same = (self.sketch[part, None, :] == self.sketch[None, :, :]).sum(axis=2, dtype=np.int16)
+            sizes = 100 * np.minimum(self.sizes[part, None], self.sizes[None]) >= PERCENT * np.maximum(self.sizes[part, None], self.sizes[None])
+            fits = (apart <= LIMIT) & (same >= AGREE) & sizes
+            fits[np.arange(len(part)), part] = False
+            yield part, same, fits
 
 
 def propose(rows: DataFrame) -> DataFrame:
@@ -189,11 +187,11 @@ def propose(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, 2):
-            nodes, _, lines = _maybe_similar(table)
+            members = _Members(table)
+            nodes = members.nodes
             best, agree, degree = (np.zeros(len(nodes), dtype=np.int64) for _ in range(3))
             kept = []
-            for start, same, fits in lines:
-                part = slice(start, start + len(same))
+            for part, same, fits in members.against_all(np.arange(len(nodes))):
                 masked = np.where(fits, same, -1)
                 best[part], agree[part], degree[part] = masked.argmax(axis=1), masked.max(axis=1), fits.sum(axis=1)
                 kept.append(np.packbits(fits, axis=1))
@@ -250,42 +248,56 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root): classes that may be similar to a class of another component, asked from the smaller component."""
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    """(node, root): classes with a candidate in another component, asked from the smaller component.
+
+    Only buckets with several components matter. The rows of a bucket's most frequent component are dealt into its
+    blocks; all others go to every block and meet them there, and each other in the block of the one that asks.
+    """
+    sizes = materialize(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
     labels = roots.join(sizes, "root").select(F.col("node").alias("n_"), "root", "size")
     joined = rows.join(labels, F.col("node") == F.col("n_"), "left").select(
-        "key", "part", "node", "n", "sketch", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")
+        "key", "node", "n", "signature", "sketch", F.coalesce("root", "node").alias("root"), F.coalesce("size", F.lit(1)).alias("size")
     )
+    joined = materialize(joined, "near-labelled")
+    counts = joined.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+    mixed = counts.agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("m")).where(F.col("roots") > 1)
+    mixed = materialize(mixed.select(F.col("key").alias("k_"), F.col("most.root").alias("most"), F.ceil(F.col("m") / BLOCK).cast("int").alias("g")), "near-mixed")
+    other = F.col("root") != F.col("most")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("g")).cast("int")
+    dealt = joined.join(mixed, F.col("key") == F.col("k_")).select(
+        "key", F.explode(F.when(other, F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(own))).alias("part"),
+        "node", "n", "signature", "sketch", "root", "size", other.alias("other"), own.alias("own"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_groups(batches, 2):
-            roots_here = table.column("root").to_pylist()
-            number = {r: k for k, r in enumerate(dict.fromkeys(roots_here))}
-            if len(number) < 2:
+            other = table.column("other").to_numpy()
+            if not other.any():
                 continue
-            label = np.array([number[r] for r in roots_here])
+            names, label = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)
             size = table.column("size").to_numpy()
-            names = list(number)
-            order = np.array([sorted(names).index(r) for r in names])[label] if len(names) < 64 else np.argsort(np.argsort(np.array(names, dtype=object)))[label]
-            nodes, _, lines = _maybe_similar(table)
+            mine = table.column("own").to_numpy() == table.column("part")[0].as_py()
+            members = _Members(table)
             found: list[np.ndarray] = []
-            for start, _, fits in lines:
-                part = slice(start, start + len(fits))
-                asks = (size[part, None] < size[None]) | ((size[part, None] == size[None]) & (order[part, None] > order[None]))
-                i, j = np.nonzero(fits & asks & (label[part, None] != label[None]))
-                found.append(np.unique((i + start) * len(names) + label[j]))
-            pairs = np.concatenate(found)
+            for part, _, fits in members.against_all(np.flatnonzero(other)):
+                i, j = np.nonzero(fits & (label[part, None] != label[None]))
+                i = part[i]
+                asks = (size[i] < size[j]) | ((size[i] == size[j]) & (label[i] > label[j]))
+                asker, asked = np.where(asks, i, j), np.where(asks, j, i)
+                here = mine[asker] | ~other[asked]
+                found.append(np.unique(asker[here] * len(names) + label[asked[here]]))
+            pairs = np.unique(np.concatenate(found))
             if len(pairs):
                 asker, root = np.divmod(pairs, len(names))
                 cut = np.flatnonzero(np.diff(asker)) + 1
-                lists = [[names[r] for r in part] for part in np.split(root, cut)]
+                lists = [[bytes.fromhex(names[r]) for r in part] for part in np.split(root, cut)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[i] for i in asker[np.concatenate([[0], cut])]], type=pa.binary()), pa.array(lists, type=pa.list_(pa.binary()))],
+                    [pa.array([members.nodes[i] for i in asker[np.concatenate([[0], cut])]], type=pa.binary()), pa.array(lists, type=pa.list_(pa.binary()))],
                     names=["node", "roots"],
                 )
 
     # A class's lists from all its buckets are merged before they become rows.
-    lists = _dealt(joined).mapInArrow(run, "node binary, roots array<binary>")
+    lists = _dealt(dealt).mapInArrow(run, "node binary, roots array<binary>")
     merged = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"))
     return merged.select("node", F.explode("roots").alias("root"))
 
@@ -297,6 +309,7 @@ def confirm_across(asked: DataFrame, roots: DataFrame, texts: DataFrame) -> Data
     members = wanted.join(roots.select("root", "node"), "root", "left").select("root", "askers", F.coalesce("node", "root").alias("node"))
     count = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.first("askers").alias("askers"))
     blocks = count.select("root", F.ceil(F.col("size") / COMPARE_BLOCK).cast("int").alias("mb"), F.ceil(F.col("askers") / COMPARE_BLOCK).cast("int").alias("ab"))
+    blocks = materialize(blocks, "near-blocks")
 
     def side(df: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
         """Rows dealt into their own blocks and repeated for each block of the other side."""
@@ -332,7 +345,7 @@ def confirm_across(asked: DataFrame, roots: DataFrame, texts: DataFrame) -> Data
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id, kept; and ``row``, the hash of id and text."""
+    """Per document: id, n_shingles, component_id, kept; and ``row``, a 128-bit hash of id and text."""
     described = materialize(describe(df, id_col, text_col), "near-described")
     classes = described.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("row").alias("row"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")
@@ -341,7 +354,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialize(bucket_rows(classes), "near-buckets")
     # One text for each class that shares a bucket.
     needed = classes.select("node", F.col("row").alias("r_")).join(rows.select("node").distinct(), "node", "left_semi")
-    source = df.select(_row(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    source = df.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     texts = source.join(needed, F.col("row") == F.col("r_")).groupBy("node").agg(F.first("text").alias("text"))
     texts = materialize(texts, "near-texts")
 
@@ -356,7 +369,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = described.join(final.select(F.col("node").alias("f_"), "root"), F.col("node") == F.col("f_"), "left")
     own = F.coalesce(F.col("root"), F.col("node"))
     named = labelled.select("id", "row", F.col("n").alias("n_shingles"), own.alias("root"))
+    named = materialize(named, "near-named")
     least = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least")).select(F.col("root").alias("l_"), "least")
+    least = materialize(least, "near-least")
     out = named.join(least, F.col("root") == F.col("l_"), "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least"))
     return out.select(
@@ -366,8 +381,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; repeats of a kept row count once as one document."""
-    kept = near_duplicates(df, id_col, text_col).where("kept").select(F.col("row").alias("kept_row")).distinct()
-    return df.join(kept, _row(id_col, text_col) == F.col("kept_row"), "left_semi")
+    (name,) = fresh_names(df.columns, "kept_row")
+    kept = near_duplicates(df, id_col, text_col).where("kept").select(F.col("row").alias(name)).distinct()
+    return df.join(kept, row_key(id_col, text_col) == F.col(name), "left_semi")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

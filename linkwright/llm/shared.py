@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -89,6 +90,12 @@ def fresh_names(columns: list[str], *names: str) -> list[str]:
     return found
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128-bit identity of a document: its id and its text."""
+    parts = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col(text_col).isNull().cast("string"), text_col)
+    return F.unhex(F.md5(parts))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

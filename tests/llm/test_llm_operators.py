@@ -423,6 +423,115 @@ def test_quality(spark, empty):
         assert quality.kth_largest(df, "v", k, bins=4, last=5) == sorted(values, reverse=True)[k - 1]
 
 
+def test_quality_by_brute_force(spark):
+    """Counts, log weights, keys, k and decisions against plain Python; a row's noise is Spark's hash of its id."""
+    rng = random.Random(21)
+    good, bad = [f"g{k}" for k in range(60)] + ["the", "É"], [f"b{k}!!" for k in range(60)] + ["the"]
+    rows = [(i, " ".join(rng.choices(bad if i % 4 == 0 else good, k=rng.randint(0, 12)))) for i in range(300)] + [(300, None), (7, "g1 g2"), (None, "g3 the")]
+    labels = [(i, 0 if i % 4 == 0 else 1) for i in range(0, 240, 2)] + [(9, 1), (9, 0), (None, 1), (11, None)]
+    docs, wide = make(spark, rows), 1 << 64
+
+    def bag(text):
+        hashes = [zlib.crc32(t.encode()) for t in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+        ones = [(h * 0x9E3779B97F4A7C15 % wide) >> 40 for h in hashes]
+        twos = [((a * 0x9E3779B97F4A7C15 + b) * 0x9E3779B97F4A7C15 % wide) >> 40 for a, b in zip(hashes, hashes[1:])]
+        return [x % quality.BUCKETS for x in ones + twos]
+
+    sound = defaultdict(list)
+    for i, y in labels:
+        if i is not None and y is not None:
+            sound[i].append(y)
+    sample = {i: min(y) for i, y in sound.items()}
+    ids = sorted(sample)
+    target_ids, held = {i for i in ids[::2] if sample[i] > 0}, {i: sample[i] for i in ids[1::2]}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(bag(t))
+        if i in target_ids:
+            target.update(bag(t))
+    n_raw, n_target, b = sum(raw.values()), sum(target.values()), quality.BUCKETS
+    prior = 0.02 * n_target
+    ratio = lambda x: np.log((target[x] + prior * raw[x] / n_raw + 0.5) / (n_target + prior + 0.5 * b)) - np.log((raw[x] + 0.5) / (n_raw + 0.5 * b))
+    weights = [sum(map(ratio, bag(t))) for _, t in rows]
+    first = {}
+    for (i, _), w in zip(rows, weights):
+        first.setdefault(i, w)
+    found = quality.resample(docs, spark.createDataFrame(labels, "doc_id long, quality int"), temperature=2.0).collect()
+    unit = {r[0]: (r[1] + 0.5) / (1 << 53) for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(quality.SEED)), 11)).collect()}
+    cuts = sorted({first[i] for i in held if i in first})
+    cuts = [cuts[0] - 1, *((x + y) / 2 for x, y in zip(cuts, cuts[1:]))]
+    of = lambda kind: [first[i] for i, y in held.items() if (y > 0) == kind]
+    loss = lambda cut: 2 * sum(w <= cut for w in of(True)) / len(of(True)) + sum(w > cut for w in of(False)) / len(of(False))
+    k = sum(w > min(cuts, key=loss) for w in weights)
+    keys = [w / 2.0 - np.log(-np.log(unit[i])) for (i, _), w in zip(rows, weights)]
+    least = sorted(keys, reverse=True)[k - 1]
+    wanted = sorted((str(i), len(bag(t)), round(w, 6), round(key, 6), key >= least) for (i, t), w, key in zip(rows, weights, keys))
+    assert sorted((str(r["doc_id"]), r["n_grams"], round(r["log_weight"], 6), round(r["key"], 6), r["kept"]) for r in found) == wanted
+    assert 0 < k < len(rows)
+
+
+def test_columns_that_clash(spark):
+    """Names that the operators use inside may be columns of the documents."""
+    rows = [(i, f"word{i} " * 30) for i in range(6)] + [(6, "word1 " * 30)]
+    names = ["kept_row", "drawn_id", "cut_key", "cut_size", "cut_spans", "cut_text", "cut_any", "row", "node", "root", "id", "spans"]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in names:
+        df = df.withColumn(n, F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    for out in (near_dedup.keep_one(df), substring_dedup.remove_repeats(df, words=51), quality.select_rows(df, labels), line_dedup.dedup_lines(df)):
+        assert out.columns == df.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {("x",) * len(names)}
+
+
+def test_distance_of_signatures(spark):
+    """All pairs at ``LIMIT`` differing symbols or fewer are candidates, none beyond; blocks of any size."""
+    rng = np.random.default_rng(4)
+    rows, wanted = [], set()
+    for number in range(400):
+        base = rng.integers(0, 1 << 32, near_dedup.SYMBOLS, dtype=np.uint32)
+        changed, k = base.copy(), number % (near_dedup.SYMBOLS + 1)
+        changed[rng.choice(near_dedup.SYMBOLS, k, replace=False)] ^= np.uint32(1 + number)
+        nodes = [b"a%05d" % number, b"b%05d" % number]
+        rows += [(n, 100, s.astype("<u4").tobytes(), bytes(near_dedup.SKETCH)) for n, s in zip(nodes, (base, changed))]
+        if k <= near_dedup.LIMIT:
+            wanted.add(tuple(nodes))
+    classes = spark.createDataFrame(rows, "node binary, n long, signature binary, sketch binary")
+    found = near_dedup.propose(near_dedup.bucket_rows(classes)).collect()
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in found} == wanted
+
+
+def test_near_duplicates_in_small_blocks(spark, docs, empty, monkeypatch):
+    """Buckets and components that are dealt in blocks give the same rows; a chain of near copies hangs together."""
+    rng = random.Random(31)
+    words = [f"v{k}" for k in range(200)]
+    texts, last = [], rng.choices(words, k=200)
+    for k in range(60):
+        last = list(last)
+        last[(k * 31) % 200] = f"new{k}"
+        texts.append(" ".join(last))
+    rng.shuffle(texts)
+    texts += [" ".join(rng.choices(words, k=60)) for _ in range(10)] + texts[:7]
+    df = make(spark, list(enumerate(texts))).repartition(5)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "COMPARE_BLOCK", 3)
+    sets = [_shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert found == {i: find(i) for i in range(len(texts))}
+    assert len(set(found.values())) < 40
+
+
 def test_token_store(spark, docs, empty):
     from tokenizers import Tokenizer
 
