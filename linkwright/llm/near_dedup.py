@@ -59,7 +59,7 @@ LIMIT = (ERRORS + 1) * (SYMBOLS // CHUNK) - 1
 BITS = 32
 SKETCH = 128
 AGREE = 73
-BLOCK = 4_096
+BLOCK = 2_048
 COMPARE_BLOCK = 1_000
 
 _RANDOM = np.random.default_rng(2024)

@@ -11,8 +11,11 @@ calibration queries, and never less than one.
 Vectors are compared by cosine in double precision. Equal vectors form a class,
 of which only the ``k + 1`` smallest ids can ever be among the ``k`` nearest (ties
 go to the smaller id), so a vector that a third of all rows hold is searched once
-and loses nothing. Rows of a leaf are dealt into blocks of bounded size, queries
-likewise, and each task returns the ``k`` best of a block for its queries.
+and loses nothing. Rows of a leaf are dealt into blocks of ``BLOCK_ROWS``, and each query goes to
+every block of the leaves it visits; a row is dealt once, and again only for every
+``BLOCK_QUERIES`` queries that visit its leaf. A task holds one block and streams the
+queries past it. The number of leaves depends on the sample, so on a growing table the
+leaves grow and with them the comparisons of each query; ``sample`` sets the balance.
 
 Defined results: vectors that are null, zero or hold a null or non-finite
 component take no part, neither as query nor as candidate; the same holds for
@@ -32,15 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table, sorted_groups
+from .shared import materialize, read_table
 
 SAMPLE = 16_384
 BRANCHING = 12
 LEAF_SIZE = 96
 CALIBRATION = 192
 RECALL = 0.97
-BLOCK_ROWS = 2_048
-BLOCK_QUERIES = 512
+BLOCK_ROWS = 8_192
+BLOCK_QUERIES = 65_536
 SEED = 11
 
 
@@ -157,6 +160,20 @@ def _prune(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...
     return query[place < k], ids[place < k], scores[place < k]
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where one of the first ``keys`` columns changes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in range(keys):
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            change |= column[1:] != column[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def _best_batch(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in part], names=["query_id", "id", "score"])
 
@@ -210,51 +227,51 @@ def search(
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                if not part.num_rows:
-                    continue
-                bins = [tree.value.best_bins(q, visits) for q in _unit(part.column(1).to_pylist())]
-                again = np.repeat(np.arange(part.num_rows), [len(b) for b in bins])
-                taken = part.take(pa.array(again))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(np.concatenate(bins).astype(np.int64))], names=["id", "v", "leaf"]
-                )
+                if part.num_rows:
+                    bins = [tree.value.best_bins(q, visits) for q in _unit(part.column(1).to_pylist())]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bins, type=pa.list_(pa.int64()))], names=["id", "v", "bins"])
 
     # Blocks: (leaf, row block, query block); a row meets each query block of its leaf and the reverse.
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    walked = queries.select("id", "v").repartition(width).mapInArrow(walk, "id long, v array<double>, leaf long")
-    sizes = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most n_leaves rows
-    n_queries = queries.count()
-    row_blocks = [max(1, -(-sizes.get(j, 0) // block_rows)) for j in range(n_leaves)]
-    query_blocks = max(1, -(-n_queries * visits // max(n_leaves, 1) // BLOCK_QUERIES))
-    blocks_of = F.element_at(F.array(*[F.lit(b) for b in row_blocks]), (F.col("leaf") + 1).cast("int"))
-    left = placed.withColumn("rb", F.pmod(F.xxhash64("id"), blocks_of).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
-    right = walked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), blocks_of - 1))
-    )
+    walked = materialize(queries.select("id", "v").repartition(width).mapInArrow(walk, "id long, v array<double>, bins array<long>"), "vector-queries")
+    walked = walked.select("id", "v", F.explode("bins").alias("leaf"))
+
+    def blocks(df: DataFrame, rows: int):
+        """Number of blocks of a row's leaf."""
+        sizes = {r["leaf"]: r["count"] for r in df.groupBy("leaf").count().collect()}  # at most n_leaves rows
+        return F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(j, 0) // rows))) for j in range(n_leaves)]), (F.col("leaf") + 1).cast("int"))
 
+    row_blocks, query_blocks = blocks(placed, block_rows), blocks(walked, BLOCK_QUERIES)
+    left = placed.withColumn("rb", F.pmod(F.xxhash64("id"), row_blocks).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), query_blocks - 1)))
+    right = walked.withColumn("qb", F.pmod(F.xxhash64("id"), query_blocks).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), row_blocks - 1)))
     dealt = left.withColumn("asks", F.lit(False)).unionByName(right.withColumn("asks", F.lit(True)))
     dealt = dealt.select("leaf", "rb", "qb", "asks", "id", "v").repartition(width, "leaf", "rb", "qb").sortWithinPartitions("leaf", "rb", "qb", "asks", "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's best for its queries; a query's results from the blocks of a task are merged before they leave it."""
-        held, size = [], 0
-        for group in sorted_groups(batches, 3):
-            asks = group.column("asks").to_numpy()
-            first = int(len(asks) - asks.sum())
-            if first == 0 or first == len(asks):
+        """Each block's best for its queries, which stand behind its rows; a query's results from the blocks of a task are merged before they leave it."""
+        held, size, block, ids, v = [], 0, None, [], []
+        for group in _stretches(batches, 4):
+            *here, asks = (group.column(j)[0].as_py() for j in range(4))
+            if here != block:
+                block, ids, v = here, [], []
+            own = group.column("id").to_numpy()
+            vectors = group.column("v").flatten().to_numpy().reshape(len(own), -1)
+            if not asks:
+                ids, v = [*ids, own], [*v, vectors]
+                continue
+            if not ids:
                 continue
-            ids = group.column("id").to_numpy()
-            v = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-            held.append(_block_best(ids[:first], v[:first], ids[first:], v[first:], k))
-            size += len(held[-1][0])
-            if size >= 200_000:
-                held = [_prune(held, k)]
-                size = len(held[0][0])
-                if size >= 150_000:
-                    yield _best_batch(held[0])
-                    held, size = [], 0
+            if len(ids) > 1:
+                ids, v = [np.concatenate(ids)], [np.concatenate(v)]
+            for start in range(0, len(own), 512):
+                held.append(_block_best(ids[0], v[0], own[start : start + 512], vectors[start : start + 512], k))
+                size += len(held[-1][0])
+                if size >= 200_000:
+                    held = [_prune(held, k)]
+                    size = len(held[0][0])
+                    if size >= 150_000:
+                        yield _best_batch(held[0])
+                        held, size = [], 0
         if held:
             yield _best_batch(_prune(held, k))
 

@@ -88,10 +88,13 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("block_queries", [neighbours.BLOCK_QUERIES, 3])
+def test_neighbours(spark, monkeypatch, block_queries):
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", block_queries)
     random.seed(4)
     rows = [(i, [random.gauss(0, 1) for _ in range(8)]) for i in range(600)]
     rows += [(1000 + i, [1.0] * 8) for i in range(40)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0, None] * 4), (2004, [1.0] * 3), (None, [1.0] * 8)]
+    rows += [(1050, [1.0] * 7 + [1.5])] * 2  # repeated ids count as separate rows, but never as their own neighbours
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("h", F.lit(1)).withColumn("leaf", F.lit(2))
     found = neighbours.search(df, F.col("id") % 50 == 0, recall=0.97, sample=200, block_rows=32).collect()
     sound = [(i, np.array(v)) for i, v in rows if i is not None and i < 2000]
