@@ -194,7 +194,7 @@ class LibraryEncoder:
     all texts under another pre-tokenizer, go to the library whole.
     """
 
-    def __init__(self, definition: str, cache_entries: int = 500_000):
+    def __init__(self, definition: str, cache_entries: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -209,9 +209,11 @@ class LibraryEncoder:
         for token, k in vocabulary.items():
             self.sizes[k] = len(token)
         self.width = "<u2" if len(self.sizes) <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.cache_entries = cache_entries
+        # The cache: chunks, and where their ids stand; numbers and texts in arrays, so an entry takes about 40 bytes.
+        self.names = pa.array([], type=pa.large_string())
+        self.ids = np.empty(0, dtype=self.width)
+        self.first, self.count, self.used = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0, dtype=bool)
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -225,9 +227,9 @@ class LibraryEncoder:
                 self.marks[marks] = known
         return known
 
-    def learn(self, chunks: list[str]) -> None:
-        """Add chunks to the cache. A chunk stands behind a space, or begins with a line feed."""
-        cache = self.cache
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks by the library. A chunk stands behind a space, or begins with a line feed."""
+        out: list[bytes] = []
         for k in range(0, len(chunks), 8192):
             part = chunks[k : k + 8192]
             text = "".join([c if c[0] == "\n" else " " + c for c in part])
@@ -239,35 +241,64 @@ class LibraryEncoder:
             if not np.array_equal(ends[cuts], wanted):
                 raise ValueError("a chunk does not end at a token")
             packed, first = ids.tobytes(), 0
-            for chunk, cut in zip(part, ((cuts + 1) * ids.itemsize).tolist()):
-                cache[chunk] = packed[first:cut]
+            for cut in ((cuts + 1) * ids.itemsize).tolist():
+                out.append(packed[first:cut])
                 first = cut
+        return out
 
-    def known(self, chunks: list[str]) -> list[bytes]:
-        """Ids of different chunks. A full cache becomes the older generation, which hands over what is still asked for."""
-        if len(self.cache) >= self.cache_entries:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        for chunk in chunks:
-            if chunk not in cache and chunk in older:
-                cache[chunk] = older[chunk]
-        bases: dict[str, str] = {}
-        new: dict[str, None] = {}
-        for chunk in chunks:
-            if chunk not in cache:
-                base = chunk.rstrip(MARKS)
-                if base != chunk and base[-1:].isalpha():
-                    bases[chunk] = base
-                    if base not in cache:
-                        new[base] = None
-                elif chunk:
-                    new[chunk] = None
-                else:
-                    cache[""] = self.whole(" ")
-        self.learn(list(new))
-        for chunk, base in bases.items():
-            cache[chunk] = cache[base] + self.mark(chunk[len(base) :])
-        return list(map(cache.__getitem__, chunks))
+    def learn(self, chunks: list[str], at: list[int]) -> None:
+        """Add entries for chunks that have none, in their order. A chunk that ends with marks is put together from its word and them.
+
+        ``at``: the entries of the chunks without their marks, -1 where there is none.
+        """
+        bases: dict[int, str] = {}
+        new: dict[str, bytes] = {}
+        for k, chunk in enumerate(chunks):
+            base = chunk.rstrip(MARKS)
+            if base != chunk and base[-1:].isalpha():
+                bases[k] = base
+            elif chunk:
+                new[chunk] = b""
+        known = {bases[k]: self.ids[self.first[n] : self.first[n] + self.count[n]].tobytes() for k, n in enumerate(at) if n >= 0 and k in bases}
+        extra = list(dict.fromkeys(w for w in bases.values() if w not in known and w not in new))
+        asked = [*new, *extra]
+        new = dict(zip(asked, self.encode_chunks(asked)))
+        out = []
+        for k, chunk in enumerate(chunks):
+            base = bases.get(k)
+            if base is not None:
+                out.append((new[base] if base in new else known[base]) + self.mark(chunk[len(base) :]))
+            else:
+                out.append(new[chunk] if chunk else self.whole(" "))
+        out += [new[w] for w in extra]
+        count = np.fromiter(map(len, out), dtype=np.int32, count=len(out)) // np.dtype(self.width).itemsize
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(out), dtype=self.width)])
+        self.names = pa.concat_arrays([self.names, pa.array(chunks + extra, type=pa.large_string())])
+        self.used = np.concatenate([self.used, np.ones(len(out), dtype=bool)])
+
+    def forget(self) -> None:
+        """Keep the entries that were asked for since the last time; none if that is almost all of them."""
+        keep = np.flatnonzero(self.used) if 4 * self.used.sum() < 3 * len(self.used) else np.empty(0, dtype=np.int64)
+        count, first = self.count[keep], self.first[keep]
+        ends = np.cumsum(count)
+        self.ids = self.ids[np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        self.names, self.first, self.count = self.names.take(pa.array(keep)), ends - count, count
+        self.used = np.zeros(len(keep), dtype=bool)
+
+    def entries(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of the entries of different chunks."""
+        if len(self.names) > self.cache_entries:
+            self.forget()
+        both = pa.concat_arrays([chunks, pc.utf8_rtrim(chunks, MARKS)])
+        numbers, of_base = pc.index_in(both, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64).reshape(2, -1)
+        missing = numbers < 0
+        self.used[numbers[~missing]] = True
+        if missing.any():
+            numbers[missing] = len(self.names) + np.arange(missing.sum())
+            self.learn(chunks.filter(pa.array(missing)).to_pylist(), of_base[missing].tolist())
+        return numbers
 
     def chunked(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without their first chunk, cut at every space."""
@@ -275,14 +306,12 @@ class LibraryEncoder:
             return []
         split = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
         numbered = split.values.dictionary_encode()
-        chunks = self.known(numbered.dictionary.to_pylist())
+        entry = self.entries(numbered.dictionary)
         codes = numbered.indices.to_numpy()
-        ids = np.frombuffer(b"".join(chunks), dtype=self.width)
-        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) // ids.itemsize
-        first = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        out = ids[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        each = self.count[entry][codes]
+        ends = np.zeros(len(each) + 1, dtype=np.int32)  # a block has far fewer ids than 2 ** 31
+        np.cumsum(each, out=ends[1:])
+        out = self.ids[np.repeat(self.first[entry].astype(np.int32)[codes] - ends[:-1], each) + np.arange(ends[-1], dtype=np.int32)]
         cuts = ends[split.offsets.to_numpy()].tolist()
         return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
@@ -305,7 +334,7 @@ class LibraryEncoder:
             out[k] += ids
         return out
 
-    def encode_all(self, texts: Iterator[str], chars: int = 1 << 23) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterator[str], chars: int = 1 << 24) -> Iterator[bytes]:
         """Ids of each text in turn; about ``chars`` characters are in work at a time."""
         waiting: list[str] = []
         counts: list[int] = []
