@@ -183,6 +183,14 @@ class TokenFile:
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def id_width(definition: str) -> str:
+    """Type that holds every id of a tokenizer."""
+    parts = json.loads(definition)
+    model = parts["model"]["vocab"]
+    known = model.values() if isinstance(model, dict) else range(len(model))
+    return "<u2" if max([*known, *(t["id"] for t in parts.get("added_tokens", []))]) < 1 << 16 else "<u4"
+
+
 class LibraryEncoder:
     """The tokenizers library behind a cache of chunks.
 
@@ -194,7 +202,7 @@ class LibraryEncoder:
     all texts under another pre-tokenizer, go to the library whole.
     """
 
-    def __init__(self, definition: str, cache_entries: int = 1_500_000):
+    def __init__(self, definition: str, cache_entries: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -208,7 +216,7 @@ class LibraryEncoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, k in vocabulary.items():
             self.sizes[k] = len(token)
-        self.width = "<u2" if len(self.sizes) <= 1 << 16 else "<u4"
+        self.width = id_width(definition)
         self.cache_entries = cache_entries
         # The cache: chunks, and where their ids stand; numbers and texts in arrays, so an entry takes about 40 bytes.
         self.names = pa.array([], type=pa.large_string())
@@ -334,7 +342,7 @@ class LibraryEncoder:
             out[k] += ids
         return out
 
-    def encode_all(self, texts: Iterator[str], chars: int = 1 << 24) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterator[str], chars: int = 1 << 23) -> Iterator[bytes]:
         """Ids of each text in turn; about ``chars`` characters are in work at a time."""
         waiting: list[str] = []
         counts: list[int] = []
@@ -383,7 +391,7 @@ def write_tokens(
     text_col: str = "text",
     folder: str | None = None,
     shards: int | None = None,
-    file_ids: int = 8_000_000,
+    file_ids: int = 4_000_000,
 ) -> DataFrame:
     """Encode, order and write; returns the manifest of files in order.
 
@@ -397,7 +405,8 @@ def write_tokens(
     folder = folder or new_folder(spark, "tokens")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     with open(tokenizer) as f:
-        definition = spark.sparkContext.broadcast(f.read())
+        text = f.read()
+    definition, width = spark.sparkContext.broadcast(text), id_width(text)
     rows = df.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("tie", F.xxhash64("text"))
@@ -408,8 +417,8 @@ def write_tokens(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
         packer = zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], dtype=encoder.width).tobytes()
-        width = np.dtype(encoder.width).itemsize
+        end = np.array([end_id], dtype=width).tobytes()
+        size = np.dtype(width).itemsize
         for batch in batches:
             keys = np.array([lowest if x is None else x for x in batch.column(0).to_pylist()], dtype=np.int64)
             ties = batch.column(2).to_numpy()
@@ -417,12 +426,12 @@ def write_tokens(
             share = (ties.astype(np.float64) + 2.0**63) / 2.0**64
             place = np.minimum(low + np.floor(share * (high - low + 1)).astype(np.int64), high)
             at = 0
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
                 packed, counts = [], []
                 for ids in encoder.encode_all(x.as_py() for x in part.column(1)):
                     packed.append(packer.compress(ids + end))
-                    counts.append(len(ids) // width + 1)
+                    counts.append(len(ids) // size + 1)
                 n = len(packed)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -437,7 +446,8 @@ def write_tokens(
                 at += n
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _encoder(definition.value).width
+        _ENCODERS.clear()  # all texts are encoded by now, and files take memory
+        pa.default_memory_pool().release_unused()
         unpacker = zstandard.ZstdDecompressor()
         place, part, docs, lengths, ids, held = None, 0, [], [], [], 0
 
