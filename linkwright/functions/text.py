@@ -71,20 +71,20 @@ def name_tokens(c: Column) -> Column:
     return words(F.array_join(canonical, " "))
 
 
-def without_legal(tokens: Column, country: Column) -> Column:
-    """Legal forms and fillers dropped; order and repeats stay."""
+def without_legal(tokens: Column, country: Column, french: bool = True) -> Column:
+    """Legal forms and fillers dropped; order and repeats stay. ``french``: also the fillers of French names."""
     legal = F.array(*[F.lit(x) for x in fixed.LEGAL])
     noise = F.array(*[F.lit(x) for x in fixed.FR_NAME_NOISE])
-    return F.filter(tokens, lambda t: ~F.array_contains(legal, t) & ~((country == "france") & F.array_contains(noise, t)))
+    return F.filter(tokens, lambda t: ~F.array_contains(legal, t) & ~(F.lit(french) & (country == "france") & F.array_contains(noise, t)))
 
 
-def name_parts(c: Column, country: Column) -> Column:
+def name_parts(c: Column, country: Column, french: bool = True) -> Column:
     """Struct of full, core, compact and alias of an ASCII lower-case name."""
     parts = F.filter(F.split(c, fixed.ALIAS), lambda p: F.trim(p) != "")
     several = F.size(parts) > 1
     full = name_tokens(c)
-    core = without_legal(F.when(several, name_tokens(F.try_element_at(parts, F.lit(1)))).otherwise(full), country)
-    alias = without_legal(F.when(several, name_tokens(F.try_element_at(parts, F.lit(-1)))).otherwise(F.array().cast("array<string>")), country)
+    core = without_legal(F.when(several, name_tokens(F.try_element_at(parts, F.lit(1)))).otherwise(full), country, french)
+    alias = without_legal(F.when(several, name_tokens(F.try_element_at(parts, F.lit(-1)))).otherwise(F.array().cast("array<string>")), country, french)
     return F.struct(
         F.array_join(full, " ").alias("name_full"),
         F.array_join(core, " ").alias("core"),
@@ -122,14 +122,15 @@ def state_of(country: Column, component: Column) -> Column:
     return F.try_element_at(entries, F.concat_ws("|", country, component))
 
 
-def address_parts(c: Column, country: Column) -> Column:
+def address_parts(c: Column, country: Column, french: bool = True) -> Column:
     """Struct of addr, state and nums of an address: states are taken out, numbers listed once, words canonical."""
-    raw = F.when(country == "france", F.translate(c, "°º", "oo")).otherwise(c)
+    in_france = F.lit(french) & (country == "france")
+    raw = F.when(in_france, F.translate(c, "°º", "oo")).otherwise(c)
     kept = F.filter(F.transform(F.split(fold_ascii(raw), ","), lambda x: F.trim(x)), lambda x: ~x.isin(fixed.NULLISH))
     parts = F.transform(kept, lambda x: F.trim(F.regexp_replace(x, fixed.NOT_ALNUM, " ")))
     states = F.filter(F.transform(parts, lambda x: state_of(country, x)), lambda x: x.isNotNull())
     tokens = words(F.array_join(F.transform(words(F.array_join(F.filter(parts, lambda x: state_of(country, x).isNull()), " ")), unglue), " "))
-    tokens = words(F.array_join(F.transform(tokens, lambda t: F.when(country == "france", french_token(t)).otherwise(t)), " "))
+    tokens = words(F.array_join(F.transform(tokens, lambda t: F.when(in_france, french_token(t)).otherwise(t)), " "))
     digits = F.regexp_extract_all(F.array_join(tokens, " "), F.lit("([0-9]+)"), 1)
     nums = F.transform(digits, lambda d: F.when(d.rlike("^0+$"), "0").otherwise(F.ltrim(d, F.lit("0"))))
     stop = F.array(*[F.lit(x) for x in fixed.ADDR_STOP])
@@ -204,3 +205,9 @@ def script_tokens(c: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """match, mismatch, one_missing or both_missing of two values."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, F.when(a == b, "match").otherwise("mismatch")).when(a.isNotNull() | b.isNotNull(), "one_missing").otherwise("both_missing")

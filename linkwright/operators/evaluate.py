@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,13 @@ def trait_slices(truth: DataFrame, predicted: DataFrame, found: DataFrame, trait
         n.alias("truth"), missed.alias("missed"), absent.alias("not_candidate"),
         F.round(1 - absent / n, 6).alias("block_recall"), F.round(missed / n, 6).alias("miss_rate"),
     )
+
+
+def split_report(ids: DataFrame, truth: DataFrame, part: Column) -> DataFrame:
+    """Records, true pairs and records without a match in each part of a split; ``part``: a condition on s1."""
+    counts = truth.groupBy("s1").agg(F.count(F.lit(1)).alias("n"))
+    rows = ids.select("s1", part.alias("part")).join(counts, "s1", "left")
+    n, alone = F.count(F.lit(1)), F.count(F.when(F.col("n").isNull(), 1))
+    return rows.groupBy("part").agg(
+        n.alias("records"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), alone.alias("singletons"), F.round(alone / n, 6).alias("singleton_rate")
+    )

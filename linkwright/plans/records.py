@@ -239,15 +239,15 @@ def pair_features(spark, sf_dir):
     for side in ("", "2"):
         ready = ready.withColumn(f"name_lite{side}", text.lite(F.col(f"name{side}"))).withColumn(f"addr_lite{side}", text.lite(F.col(f"address{side}")))
         ready = ready.withColumn(f"script{side}", text.script_of(F.col(f"name{side}")))
-    return features.string_features(ready, features.idf_table(rows), ["pair"])
+    return features.string_features(features.with_weights(ready, features.idf_table(rows)), ["pair"])
 
 
 @query()
 def soft_tfidf(spark, sf_dir):
     rows = addressed(spark, sf_dir)
-    out = features.string_features(
-        _pairs(spark, sf_dir).withColumns({f"{c}{s}": F.lit("") for c in ("name_lite", "addr_lite", "script") for s in ("", "2")}), features.idf_table(rows), ["pair"]
-    )
+    blank = {f"{c}{s}": F.lit("") for c in ("name_lite", "addr_lite", "script") for s in ("", "2")}
+    ready = features.with_weights(_pairs(spark, sf_dir).withColumns(blank), features.idf_table(rows))
+    out = features.string_features(ready, ["pair"], ("x2",))
     return out.select("pair", F.round("n2_soft", 6).alias("n2_soft"), F.round("a2_soft", 6).alias("a2_soft"))
 
 

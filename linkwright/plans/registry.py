@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, linkage, records
+from . import analysis, linkage, records, reports
 
-MODULES = (linkage, records, analysis)
+MODULES = (linkage, records, analysis, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

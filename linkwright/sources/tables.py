@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,3 +118,25 @@ def next_run_folder(spark: SparkSession, root: str, stage: str) -> str:
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
     taken = [int(m[1]) for name in names if (m := re.match(r"(\d+)_", name))]
     return f"{root}/{max(taken, default=0) + 1:02d}_{stage}"
+
+
+def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int, by: list[str] = ()) -> DataFrame:
+    """``n`` rows (of each group ``by``) in the order of a seeded hash of their keys: the same rows wherever and however often it runs."""
+    mixed = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    if not by:
+        return df.withColumn("drawn_at", mixed).orderBy("drawn_at", *keys).limit(n).drop("drawn_at")
+    order = W.partitionBy(*by).orderBy(mixed, *keys)
+    return df.withColumn("drawn_at", F.row_number().over(order)).where(F.col("drawn_at") <= n).drop("drawn_at")
+
+
+def sample_again(df: DataFrame, share: float, seed: int) -> DataFrame:
+    """Rows drawn with replacement, each a Poisson number of times with mean ``share``."""
+    return df.sample(withReplacement=True, fraction=share, seed=seed)
+
+
+def shown_ids(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """(group, n, shown): the first ids of each group for a message, with dots where there are more."""
+    ranked = df.withColumn("r", F.row_number().over(W.partitionBy(group).orderBy(key)))
+    first = F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= n, F.col(key)))), ", ")
+    total = F.count(F.lit(1))
+    return ranked.groupBy(group).agg(total.alias("n"), F.concat(first, F.when(total > n, ", ...").otherwise("")).alias("shown"))

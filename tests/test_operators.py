@@ -7,11 +7,12 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkwright.config import Config, Regime
 from linkwright.operators import blocking, context, decide, evaluate, validate
 from linkwright.operators.similarity_join import similar_pairs, top_k, word_terms
-from linkwright.plans.pipeline import Runner, normalize
+from linkwright.plans.pipeline import Dictionary, Runner, normalize, predict, train
 from linkwright.sources import tables
 from linkwright.streaming.link import StreamLinker
 
@@ -114,6 +115,76 @@ def test_stream(spark, tmp_path):
     assert [(r["query"], r["s1"]) for r in got] == [(9, 2)]
 
 
+def _sources(spark, n, start=0):
+    """Three raw sources: every record of the first has a copy in the second and, each second one, a noisy one in the third."""
+    first, second, third, truth = [], [], [], []
+    words = ["alpha", "bravo", "cedar", "delta", "ember", "falcon", "garnet", "harbor", "indigo", "jasper", "kestrel", "linden"]
+    for k in range(start, start + n):
+        name = f"{words[k % 12]} {words[(k * 5 + 1) % 12]} traders{k}"
+        address = f"{k} Main Street, Springfield {10000 + k}, Ohio"
+        first.append((f"S1-{k}", f"{name} Pvt Ltd", address, "US"))
+        second.append((f"S2-{k}", f"{name} Private Limited", address.replace("Street", "St"), "US"))
+        truth.append((f"S1-{k}", f"S2-{k}"))
+        if k % 2 == 0:
+            native = f"भारत traders{k}" if k % 4 == 0 else name[1:]
+            third.append((f"S3-{k}", native, address.replace("Main", "Mian"), "US"))
+            truth.append((f"S1-{k}", f"S3-{k}"))
+            first[-1] = (f"S1-{k}", f"bharat traders{k}" if k % 4 == 0 else f"{name} Pvt Ltd", address, "US")
+    schema = "entity_id string, business_name string, business_address string, country string"
+    raw = {s: spark.createDataFrame(rows, schema) for s, rows in (("s1", first), ("s2", second), ("s3", third))}
+    return raw, spark.createDataFrame(truth, "s1 string, other string")
+
+
+def test_from_raw_rows_to_files(spark, tmp_path):
+    """Training writes dictionary, models, decision and both lists; prediction on new rows uses them and learns nothing."""
+    small = {"maxIter": 2, "maxDepth": 3, "minInstancesPerNode": 2, "maxBins": 32}
+    raw, truth = _sources(spark, 48)
+    config = Config(data="", work=f"{tmp_path}/work", output=f"{tmp_path}/out", regime=Regime.HARD)
+    matched = train(spark, raw, truth, config, **small)
+    decision = tables.read_json(spark, f"{tmp_path}/work/decision")
+    assert decision["macro_f05"] > 0.8 and matched.groupBy("other").count().where("count > 1").count() == 0
+    assert tables.read_json(spark, f"{tmp_path}/work/dictionary")["names"]["भारत"] == "bharat"
+    index = spark.read.parquet(f"{tmp_path}/work/candidates").select("s1").distinct().count()
+    lists = tables.read_tsv(spark, f"{tmp_path}/out/matching_results", tables.TRUTH_COLUMNS)
+    assert index <= lists.count() < 48 and lists.where("matched_entity_ids <> ''").count() > 20
+    columns = set(spark.read.parquet(f"{tmp_path}/work/scored_second").columns)
+    from linkwright.operators import features, model
+
+    assert {*features.BASE, *features.EXTENDED, *features.SECOND, *model.CONTEXT, "rk_name_o", "q"} <= columns
+
+    new, known = _sources(spark, 20, start=200)
+    test = Config(data="", work=f"{tmp_path}/test", output=f"{tmp_path}/test_out", regime=Regime.HARD)
+    found = predict(spark, new, test, f"{tmp_path}/work")
+    hits = found.join(known, ["s1", "other"], "left_semi").count()
+    assert hits >= 0.7 * known.count() and hits >= 0.8 * found.count()
+    assert tables.read_tsv(spark, f"{tmp_path}/test_out/candidate_pairs", ("source1_entity_id", "candidate_entity_ids")).count() == 20
+    assert validate.check_file(spark, f"{tmp_path}/test_out/matching_results", "matched_entity_ids") == []
+    again = Config(data="", work=f"{tmp_path}/again", output=f"{tmp_path}/again_out", regime=Regime.HARD)
+    assert predict(spark, new, again, f"{tmp_path}/work", reuse=(f"{tmp_path}/test",)).count() == found.count()
+    assert not tables.exists(spark, f"{tmp_path}/again/s1_norm")  # taken from the run before
+
+
+def test_other_scripts_and_the_french_switch(spark):
+    from linkwright.functions import text, translit
+
+    assert translit.to_ascii("Москва Ёлка Αθήνα œuf", {}) == "moskva elka athena oeuf"
+    assert translit.address_to_ascii("भारत नगर, 5 Main", {}, {"भारत नगर": "bharat nagar"}) == "bharat nagar, 5 main"
+    df = spark.createDataFrame([("durand et fils", "3bis rue x", "france")], "n string, a string, country string")
+    for french, core, nums in ((True, "durand", "3"), (False, "durand fils", "3")):
+        r = df.select(text.name_parts(F.col("n"), F.col("country"), french).alias("n"), text.address_parts(F.col("a"), F.col("country"), french).alias("a")).first()
+        assert (r["n"]["core"], r["a"]["nums"]) == (core, nums)
+
+
+def test_samples_and_regimes(spark):
+    df = spark.range(1000).withColumnRenamed("id", "s1")
+    a, b = (sorted(r["s1"] for r in tables.seeded_sample(x, ["s1"], 30, seed=3).collect()) for x in (df, df.repartition(7)))
+    assert a == b and len(a) == 30 and a != sorted(r["s1"] for r in tables.seeded_sample(df, ["s1"], 30, seed=4).collect())
+    again = tables.sample_again(df, 0.5, seed=5)
+    assert 350 < again.count() < 650 and again.distinct().count() < again.count()
+    kept = blocking.thinned(df, Regime.HARD).count()
+    assert 760 < kept < 880 and blocking.thinned(df, Regime.PLAIN).count() == 1000
+
+
 @pytest.mark.parametrize("gone", [(), ("linkwright/llm", "corpus_pipeline.py"), ("linkwright/llm",), ("corpus_pipeline.py",)])
 def test_registry_without_the_extras(tmp_path, gone):
     root = Path(__file__).resolve().parents[1]
