@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.fixed import EDA_STOPWORDS
-from ..operators import model, translit_learn, validate
+from ..operators import context, features, model, translit_learn, validate
 from ..operators.similarity_join import char_terms, similar_pairs, top_k
 from ..sources.tables import list_rows, read_table
 from . import duck
 from .fixtures import OUTCOME_SQL, TASK_SQL, task
 from .linkage import _both_views, _outcomes, _predicted
+from .pipeline import pair_table
 from .records import BOTH_SQL, addressed
 
 QUERIES, SQL = {}, {}
@@ -244,43 +245,95 @@ def nostate_fallback(spark, sf_dir):
     """SELECT i.item_id, d.doc_id FROM benchmark i JOIN documents d ON contains(d.text, i.text)"""
 )
 def benchmark_contained(spark, sf_dir):
-    """Documents that hold a whole benchmark passage: word-level anchors first, then the exact test.
+    """Documents that hold a whole benchmark passage."""
+    return contained(read_table(spark, sf_dir, "benchmark"), read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
-    The passage's rarest four-word run is its anchor, so documents meet passages on equal keys.
-    """
-    items = read_table(spark, sf_dir, "benchmark")
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    runs = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 3), lambda i: F.array_join(F.slice(c, i, 4), " "))
-    keyed = items.withColumn("w", F.split("text", " ")).where(F.size("w") >= 6).withColumn("anchor", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")))
-    exploded = docs.withColumn("w", F.split("text", " ")).where(F.size("w") >= 4).select("doc_id", F.explode(F.array_distinct(F.transform(runs(F.col("w")), lambda x: F.xxhash64(x)))).alias("anchor"))
-    near = exploded.join(keyed.select("item_id", F.col("text").alias("passage"), "anchor"), "anchor").select("item_id", "doc_id", "passage").distinct()
-    met = near.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    short = items.where(F.size(F.split("text", " ")) < 6).select("item_id", F.col("text").alias("passage"))
-    few = docs.join(F.broadcast(short), F.contains(F.col("text"), F.col("passage"))).select("item_id", "doc_id")  # a handful of very short passages
-    return met.unionByName(few)
+
+RUN = 4  # words of an anchor
+SHORT_BYTES = 1 << 20  # of passages too short for an anchor that may be sent to every task
 
 
-FEATURES = ["sim_name_blk", "sim_addr_blk"]
+def contained(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): documents whose text contains an item's text; null texts contain nothing and are in nothing.
+
+    The rarest run of four inner words of a passage is its anchor (its first and last word may be parts of words of the
+    text), so documents meet passages on equal and rare keys. Passages without four inner words meet on their rarest
+    run of characters, unless all of them together are so small that every task can hold them.
+    """
+    items = items.select("item_id", F.col("text").alias("passage")).where(F.col("passage").isNotNull())
+    docs = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    runs = lambda c, n: F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), " ")))
+    inner = F.slice("w", F.lit(2), F.size("w") - 2)
+    split = items.withColumn("w", F.split("passage", " "))
+    long = split.where(F.size("w") >= RUN + 2).withColumn("w", inner)
+    words = docs.withColumn("w", F.split("text", " ")).where(F.size("w") >= RUN)
+    met = _by_rarest(long, words, F.array_distinct(runs(F.col("w"), RUN)), F.array_distinct(runs(F.col("w"), RUN)))
+    out = met.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+
+    short = split.where(F.size("w") < RUN + 2).drop("w")
+    size = short.agg(F.sum(F.octet_length("passage"))).first()[0]
+    if size is None:
+        return out
+    if size <= SHORT_BYTES:
+        few = docs.join(F.broadcast(short), F.contains("text", "passage"))
+        return out.unionByName(few.select("item_id", "doc_id"))
+    for n in sorted({min(r["n"], 8) for r in short.select(F.least(F.length("passage"), F.lit(8)).alias("n")).distinct().collect()}):  # 0 to 8
+        own = short.where(F.least(F.length("passage"), F.lit(8)) == n)
+        if n == 0:
+            out = out.unionByName(own.crossJoin(docs.select("doc_id")).select("item_id", "doc_id"))  # the empty text is in every text: this is the result
+            continue
+        grams = lambda c, n=n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.xxhash64(F.substring(c, i, F.lit(n)))))
+        near = _by_rarest(own, docs.where(F.length("text") >= n), grams(F.col("passage")), grams(F.col("text")))
+        out = out.unionByName(near.join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id"))
+    return out
+
+
+def _by_rarest(items: DataFrame, docs: DataFrame, item_keys, doc_keys) -> DataFrame:
+    """(item_id, passage, doc_id): documents with the key of an item that the fewest documents have."""
+    asked = items.select("item_id", "passage", F.explode(item_keys).alias("key"))
+    hits = docs.select("doc_id", F.explode(doc_keys).alias("key")).join(asked.select("key").distinct(), "key", "left_semi")
+    counts = hits.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    best = asked.join(counts, "key", "left").groupBy("item_id", "passage").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("best"))
+    return best.where(F.col("best.df") > 0).select("item_id", "passage", F.col("best.key").alias("key")).join(hits, "key").drop("key")
+
+
+def _records_of(df: DataFrame, key: str) -> DataFrame:
+    """Documents as records: the title is the name, the first 80 characters behind it are the address."""
+    line = F.substring("body", 1, 80)
+    rows = df.withColumn("n", text.name_parts(text.fold_ascii(F.col("title")), F.col("country"))).withColumn("a", text.address_parts(line, F.col("country")))
+    return rows.select(key, "n.*", "a.*", text.lite(F.col("title")).alias("name_lite"), text.lite(line).alias("addr_lite"), text.script_of(F.col("title")).alias("script"))
 
 
 def _model_rows(spark, sf_dir) -> DataFrame:
+    """Candidates of the documents task with all inputs of both stages."""
     t = task(spark, sf_dir)
-    return t.keep("labelled", lambda: model.labelled(_both_views(t), t.truth))
 
+    def build() -> DataFrame:
+        found = _both_views(t)
+        strings = pair_table(found, _records_of(t.s1, "s1"), _records_of(t.other, "other"), ("base", "x", "x2"))
+        return model.labelled(context.candidate_context(found).join(strings, ["s1", "other"]), t.truth)
 
-SMALL = {"maxIter": 4, "maxDepth": 3, "minInstancesPerNode": 5, "maxBins": 64}
+    return t.keep("labelled", build)
+
+
+#: Fewer and smaller trees than the production settings of ``operators.model``, so that a test run is short.
+SMALL = {"maxIter": 5, "maxDepth": 4, "minInstancesPerNode": 5, "maxBins": 64}
+_FIRST = lambda rows: [c for c in rows.columns if c not in ("s1", "other", "y", *features.EXTENDED, *features.SECOND)]
 
 
 @query()
 def gbt_score(spark, sf_dir):
+    """The first stage on all its inputs: fitted on the training part, scores of the validation part with its competitors."""
     rows = _model_rows(spark, sf_dir)
-    return model.score(model.train(rows, FEATURES, **SMALL), rows).select("s1", "other", F.round("p", 4).alias("p"))
+    training, held = model.split_parts(rows, model.bucket(F.col("s1"), 7, 10))
+    return model.score(model.train(training, _FIRST(rows), **SMALL), held).select("s1", "other", F.round("p", 4).alias("p"))
 
 
 @query()
 def oof_score(spark, sf_dir):
-    """Two stages, both scored out of fold."""
-    out = model.two_stage(_model_rows(spark, sf_dir), FEATURES, [], **SMALL)
+    """Two stages on all their inputs, both scored out of fold."""
+    rows = _model_rows(spark, sf_dir)
+    out = model.two_stage(rows, _FIRST(rows), [*features.EXTENDED, *features.SECOND], **SMALL)
     return out.select("s1", "other", F.round("p", 4).alias("p"), F.round("q", 4).alias("q"))
 
 

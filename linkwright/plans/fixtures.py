@@ -45,7 +45,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class DocumentTask:
-    """Tables of the documents task; those that cost a similarity join are kept once made."""
+    """Tables of the documents task; those that cost a similarity join are kept once made, until ``release``.
+
+    Documents without a text have neither title nor body and take no part; the SQL leaves them out as well.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         docs = read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]).where(F.col("text").isNotNull())
@@ -64,6 +67,11 @@ class DocumentTask:
             self._kept[name] = build().persist()
         return self._kept[name]
 
+    def release(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
+
     def similarities(self) -> DataFrame:
         """All pairs above the cut-off: block, query, s1, sim."""
 
@@ -94,6 +102,12 @@ def task(spark: SparkSession, sf_dir: str) -> DocumentTask:
     return _TASKS[key]
 
 
+def release_all() -> None:
+    """Drop everything that the tasks keep, so that the next query starts cold."""
+    for t in _TASKS.values():
+        t.release()
+
+
 #: The same tables in SQL, to be put before a query.
 TASK_SQL = r"""
 WITH titled AS (SELECT doc_id, lang, split_part(text, '.', 1) AS title, substr(text, length(split_part(text, '.', 1)) + 2) AS body

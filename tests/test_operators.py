@@ -164,6 +164,21 @@ def test_from_raw_rows_to_files(spark, tmp_path):
     assert not tables.exists(spark, f"{tmp_path}/again/s1_norm")  # taken from the run before
 
 
+@pytest.mark.parametrize("short_bytes", [1 << 20, 0])
+def test_contained_passages(spark, monkeypatch, short_bytes):
+    """Long and short passages, parts of words, repeated items, nulls and the empty text, by both ways for short ones."""
+    from linkwright.plans import analysis
+
+    monkeypatch.setattr(analysis, "SHORT_BYTES", short_bytes)
+    words = [f"w{k % 13}x{k % 7}" for k in range(120)]
+    texts = [" ".join(words[k : k + 30]) for k in range(0, 90, 10)] + [None, "", "ab", "abcdefghij klm", words[5]]
+    passages = [" ".join(words[12:20])[1:-1], " ".join(words[0:4]), words[3][1:], "ab", "cdefghij", "bcdefghij kl", None, "", " ".join(words[12:20])[1:-1], "zz zz zz zz zz zz zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    wanted = [(i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t]
+    assert rows(analysis.contained(items, docs), "item_id", "doc_id") == sorted(wanted)
+
+
 def test_other_scripts_and_the_french_switch(spark):
     from linkwright.functions import text, translit
 
