@@ -26,9 +26,13 @@ class Runner:
         self.spark, self.folder, self.reuse = spark, folder, tuple(reuse)
         self.log: list[tuple[str, float]] = []
 
-    def step(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def step(self, name: str, build: Callable[[], DataFrame], rows: DataFrame | None = None) -> DataFrame:
+        """``rows``: the pairs that a result must hold; an old one with other pairs is built anew."""
         began = time.time()
         found = [f for f in (self.folder, *self.reuse) if tables.exists(self.spark, f"{f}/{name}/_SUCCESS")]
+        if found and rows is not None and not tables.same_keys(self.spark.read.parquet(f"{found[0]}/{name}"), rows, ["s1", "other"]):
+            build().write.mode("overwrite").parquet(f"{self.folder}/{name}")
+            found = []
         out = tables.step_result(self.spark, f"{found[0] if found else self.folder}/{name}", build)
         self.log.append((name, time.time() - began))
         return out
@@ -106,7 +110,7 @@ class Linkage:
     def extended(self, scored: DataFrame) -> DataFrame:
         """Rows of the second stage with the features that only it uses."""
         rows = model.second_rows(scored)
-        return self.runner.step("second", lambda: rows.join(pair_table(rows, self.s1, self.other, ("x", "x2")), ["s1", "other"]))
+        return self.runner.step("second", lambda: rows.join(pair_table(rows, self.s1, self.other, ("x", "x2")), ["s1", "other"]), rows)
 
     def write(self, matched: DataFrame) -> None:
         """The two files of a run: candidates and matches of every record of the first source."""
@@ -143,8 +147,9 @@ def train(spark: SparkSession, raw: dict[str, DataFrame], truth: DataFrame, conf
     out = step("scored_second", lambda: model.crossed(second, columns, model.bucket(F.col("other"), 13, 2), name="q", **(model.STAGE_2 | settings)))
     decision = best_decision(out, truth, link.ids)
     tables.write_json(spark, f"{work}/decision", decision)
-    model.save(model.train(rows, names, **settings), f"{work}/model_1")
-    model.save(model.train(second, columns, **(model.STAGE_2 | settings)), f"{work}/model_2")
+    for k, fitted in ((1, model.train(rows, names, **settings)), (2, model.train(second, columns, **(model.STAGE_2 | settings)))):
+        model.save(fitted, f"{work}/model_{k}")
+        tables.write_json(spark, f"{work}/importances_{k}", model.importances(fitted))
     matched = decide.decide(out, decision["thr"], decision["rel"], "q").select("s1", "other", "q")
     link.write(matched)
     return matched

@@ -113,6 +113,20 @@ def truth_split(spark, sf_dir):
     return evaluate.split_report(t.s1.select("s1"), t.truth, F.expr(_NAMED_PART))
 
 
+@query(
+    TASK_SQL
+    + """SELECT a.country AS country, b.country AS other_country, a.country = b.country AS same, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
+FROM truth t JOIN s1t a ON t.s1 = a.s1 JOIN ot b ON t.other = b.other GROUP BY a.country, b.country"""
+)
+def cross_country_matches(spark, sf_dir):
+    """True pairs by the countries of their records; blocks never cross countries, so pairs that do are lost to blocking."""
+    t = task(spark, sf_dir)
+    rows = t.truth.join(t.s1.select("s1", "country"), "s1").join(t.other.select("other", F.col("country").alias("other_country")), "other")
+    counts = rows.groupBy("country", "other_country").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.crossJoin(total).select("country", "other_country", (F.col("country") == F.col("other_country")).alias("same"), "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
 # --- examples and samples ------------------------------------------------------------------------
 
 
@@ -302,3 +316,40 @@ def soft_tfidf_names(spark, sf_dir):
     ready = _pairs(spark, sf_dir).withColumns({f"{c}{s}": F.lit("") for c in ("name_lite", "addr_lite", "script") for s in ("", "2")})
     out = features.string_features(features.with_weights(ready, features.idf_table(addressed(spark, sf_dir))), ["pair"], ("x2",))
     return out.select("pair", F.round("n2_soft", 4).alias("n2_soft"))
+
+
+# --- ratios of pairs -----------------------------------------------------------------------------
+
+#: Longest common subsequences by rows of the dynamic programme, one step of the recursion for each character of ``b``.
+_LCS = """
+     lcs AS (SELECT pair, kind, a, b, 0 AS k, list_transform(range(1, length(a) + 1), lambda i: 0) AS row FROM texts
+             UNION ALL SELECT pair, kind, a, b, k + 1, list_transform(range(1, length(a) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+               lambda i: greatest(row[i], CASE WHEN i > 1 THEN row[i - 1] ELSE 0 END + CASE WHEN substr(a, i, 1) = substr(b, CAST(k + 1 AS BIGINT), 1) THEN 1 ELSE 0 END))))
+             FROM lcs WHERE k < length(b)),
+     ratios AS (SELECT pair, kind, CASE WHEN length(a) + length(b) = 0 THEN 100.0 ELSE 200.0 * coalesce(list_max(row), 0) / (length(a) + length(b)) END AS r
+                FROM lcs WHERE k = length(b))"""
+
+
+def _sorted_text(x: str) -> str:
+    return f"array_to_string(list_sort({x}), ' ')"
+
+
+@query(
+    _PAIR_SQL.replace("WITH rec", "WITH RECURSIVE rec", 1)
+    + f""", token_sets AS (SELECT pair, t1, t2, {_sorted_text('list_distinct(list_intersect(t1, t2))')} AS common,
+       {_sorted_text('list_distinct(list_filter(t1, lambda t: NOT list_contains(t2, t)))')} AS own1, {_sorted_text('list_distinct(list_filter(t2, lambda t: NOT list_contains(t1, t)))')} AS own2 FROM pairs),
+     sides AS (SELECT *, trim(common || ' ' || own1) AS with1, trim(common || ' ' || own2) AS with2 FROM token_sets),
+     texts AS (SELECT pair, 'ratio' AS kind, array_to_string(t1, ' ') AS a, array_to_string(t2, ' ') AS b FROM sides
+       UNION ALL SELECT pair, 'sort', {_sorted_text('t1')}, {_sorted_text('t2')} FROM sides UNION ALL SELECT pair, 'both', with1, with2 FROM sides
+       UNION ALL SELECT pair, 'one', common, with1 FROM sides UNION ALL SELECT pair, 'two', common, with2 FROM sides),
+     {_LCS.strip()}
+SELECT s.pair, round(max(r) FILTER (WHERE kind = 'ratio'), 4) AS ratio, round(max(r) FILTER (WHERE kind = 'sort'), 4) AS token_sort,
+       round(CASE WHEN any_value(len(t1)) = 0 OR any_value(len(t2)) = 0 THEN 0.0 WHEN any_value(common) <> '' AND (any_value(own1) = '' OR any_value(own2) = '') THEN 100.0
+             WHEN any_value(common) = '' THEN max(r) FILTER (WHERE kind = 'both') ELSE max(r) FILTER (WHERE kind IN ('both', 'one', 'two')) END, 4) AS token_set
+FROM sides s JOIN ratios USING (pair) GROUP BY s.pair"""
+)
+def token_ratios(spark, sf_dir):
+    """Plain, sorted and set ratio of the names of pairs."""
+    kinds = {"ratio": kernels.ratio, "token_sort": kernels.token_sort_ratio, "token_set": kernels.token_set_ratio}
+    columns = [F.round(kernels.pair_kernel(k)(F.col("core"), F.col("core2")), 4).alias(n) for n, k in kinds.items()]
+    return _pairs(spark, sf_dir).select("pair", *columns)

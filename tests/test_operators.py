@@ -152,6 +152,8 @@ def test_from_raw_rows_to_files(spark, tmp_path):
 
     assert {*features.BASE, *features.EXTENDED, *features.SECOND, *model.CONTEXT, "rk_name_o", "q"} <= columns
 
+    weights = tables.read_json(spark, f"{tmp_path}/work/importances_2")
+    assert weights == sorted(weights, key=lambda x: -x[1]) and abs(sum(w for _, w in weights) - 1) < 1e-6
     new, known = _sources(spark, 20, start=200)
     test = Config(data="", work=f"{tmp_path}/test", output=f"{tmp_path}/test_out", regime=Regime.HARD)
     found = predict(spark, new, test, f"{tmp_path}/work")
@@ -179,6 +181,13 @@ def test_contained_passages(spark, monkeypatch, short_bytes):
     assert rows(analysis.contained(items, docs), "item_id", "doc_id") == sorted(wanted)
 
 
+def test_a_step_with_other_rows_is_built_anew(spark, tmp_path):
+    pairs = lambda n: spark.range(n).selectExpr("id AS s1", "id + 1 AS other")
+    runner = Runner(spark, f"{tmp_path}/a")
+    assert runner.step("x", lambda: pairs(3), pairs(3)).count() == 3
+    assert runner.step("x", lambda: pairs(5)).count() == 3 and runner.step("x", lambda: pairs(5), pairs(5)).count() == 5
+
+
 def test_other_scripts_and_the_french_switch(spark):
     from linkwright.functions import text, translit
 
