@@ -45,6 +45,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -380,10 +381,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; repeats of a kept row count once as one document."""
-    (name,) = fresh_names(df.columns, "kept_row")
+    """One row of ``df`` for each group, with all its columns. Of rows that repeat both id and text one stays, any of them."""
+    name, own, place = fresh_names(df.columns, "kept_row", "own_row", "place_in_row")
     kept = near_duplicates(df, id_col, text_col).where("kept").select(F.col("row").alias(name)).distinct()
-    return df.join(kept, row_key(id_col, text_col) == F.col(name), "left_semi")
+    met = df.withColumn(own, row_key(id_col, text_col)).join(kept, F.col(own) == F.col(name), "left_semi")
+    numbered = met.withColumn(place, F.row_number().over(W.partitionBy(own).orderBy(own)))
+    return numbered.where(F.col(place) == 1).drop(own, place)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,69 @@ def test_chat(spark):
     assert (found[3]["chosen"], found[3]["rejected"], found[3]["chosen_mask"]) == ("", "", "")
 
 
+def test_chat_with_ties_repeats_and_long_texts(spark):
+    """Tied turn numbers, repeated rows, long texts and empty tables against plain Python."""
+    rng = random.Random(19)
+    schema = "pair_id long, side string, turn long, role string, text string, chosen string, k int, first int"
+    turns, long = [], "word " * 200_000
+    for pair in range(30):
+        shared = [(t, rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None, long if pair == 3 else "c"])) for t in range(rng.randint(0, 4))]
+        for side in ("chosen", "rejected"):
+            own = [(rng.choice([None, 5, 5, 6]), rng.choice(["user", "assistant"]), rng.choice("xyz")) for _ in range(rng.randint(0, 3))]
+            for turn, role, text in shared + own + own[:1]:
+                turns.append((pair, side, turn, role, text, "c", 1, 2))
+    df = spark.createDataFrame(turns, schema)
+    assert chat.format_preferences(df.limit(0)).count() == 0
+    found = {r["pair_id"]: r for r in chat.format_preferences(df).collect()}
+    for pair in range(30):
+        sides = []
+        for side in ("chosen", "rejected"):
+            own = [(t, r or "", x or "") for p, s, t, r, x, *_ in turns if (p, s) == (pair, side)]
+            sides.append([(r, x) for _, r, x in sorted(own, key=lambda v: (v[0] is not None, v[0] or 0, v[1], v[2]))])
+        if not any(sides):
+            assert pair not in found
+            continue
+        common = 0
+        while common < min(map(len, sides)) and sides[0][common] == sides[1][common]:
+            common += 1
+        render = lambda ts: "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in ts)
+        r = found[pair]
+        assert (r["common_turns"], r["prompt"]) == (common, render(sides[0][:common]))
+        for name, ts in zip(("chosen", "rejected"), sides):
+            assert r[name] == render(ts[common:])
+            spans = [tuple(map(int, m.split("-"))) for m in r[f"{name}_mask"].split(",") if m]
+            assert [r[name][a:b] for a, b in spans] == [f"{x}<|end|>\n" for role, x in ts[common:] if role == "assistant"]
+            assert r[f"{name}_trained"] == sum(b - a for a, b in spans)
+
+
+def test_media_forms_and_features(spark, docs):
+    """The stored form by the tarfile module and an own decoder; features by definition."""
+    import io
+    import tarfile
+
+    from linkwright.llm.shared import open_store
+
+    index = media.add_features(media.write_media(docs)).collect()
+    texts = {hashlib.sha256(media.payload_of(t)).hexdigest(): media.payload_of(t) for _, t in pairs_of(docs)}
+    assert {r["digest"] for r in index} == set(texts)
+    for r in index:
+        store, path = open_store(r["shard"])
+        with store.open_input_file(path) as f:
+            shard = f.read()
+        member = next(m for m in tarfile.open(fileobj=io.BytesIO(shard)).getmembers() if m.name == f"{r['digest']}.png")
+        image = shard[member.offset_data : member.offset_data + member.size]
+        assert (member.offset_data, member.size) == (r["offset"], r["length"])
+        assert (len(image), hashlib.sha256(image).hexdigest()) == (r["media_bytes"], r["media_sha256"])
+        data = zlib.decompress(image[image.index(b"IDAT") + 4 : image.index(b"IEND") - 8])
+        payload = b"".join(data[k + 1 : k + 577] for k in range(0, len(data), 577))
+        assert payload == texts[r["digest"]] and image[24:26] == b"\x08\x00"  # eight bits, grey
+        x = np.frombuffer(payload, dtype=np.uint8).astype(float)
+        share = np.unique(x, return_counts=True)[1] / len(x)
+        bits = np.packbits([s.mean() >= x.mean() for s in x.reshape(64, -1)]).tobytes().hex()
+        mean, deviation, entropy, pattern = r["feature"].split(",")
+        assert np.allclose([float(mean), float(deviation), float(entropy)], [x.mean(), x.std(), -(share * np.log2(share)).sum()], atol=2e-6) and pattern == bits
+
+
 def test_boundaries_are_optimal():
     from itertools import combinations
 
