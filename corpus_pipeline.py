@@ -2,7 +2,16 @@
 
 Each stage works on all that the one before it kept; ``run`` writes every stage's
 rows to the shared folder and reads them back. All stages but the last return the
-columns of ``documents``.
+columns of ``documents``, and carry columns of any other name along.
+
+Defined results: a null text stays null and an empty one empty through all stages
+and is packed with length 0; both have the log weight 0, so they stay if that
+is above the drawn cut, and they are copies of nothing. Rows that repeat both id and
+text stay or go together in ``quality``, share their result in ``lines``, and are
+one document from ``near_duplicates`` on. Ties: of a group the smallest id
+stays, of a window of lines the first in order of the id, and of a repeated passage
+none. Texts of any length are worked on whole. Without labels of both kinds
+everything is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +26,7 @@ from linkwright.llm.near_dedup import keep_one
 from linkwright.llm.packing import pack_documents
 from linkwright.llm.quality import select_rows
 from linkwright.llm.shared import materialize, read_table
-from linkwright.llm.substring_dedup import remove_repeats
-
-#: A passage of over 50 words is a repeat, however few bytes it has.
-PASSAGE_WORDS = 51
+from linkwright.llm.substring_dedup import PASSAGE_WORDS, remove_repeats
 
 #: No stage after the first can be put in SQL alone: models, min-hashes and the optimal buckets are not SQL.
 ORACLE_SQL = None
