@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, kernels, text
-from ..operators import decide, evaluate, features
+from ..operators import blocking, decide, evaluate, features
 from ..sources import tables
 from . import duck
 from .fixtures import OUTCOME_SQL, TASK_SQL, records, task
 from .linkage import _REASONS, GRID, _grid_sql, _ids, _predicted
-from .records import _PAIR_SQL, REC_SQL, _pairs, addressed
+from .records import _PAIR_SQL, BOTH_SQL, REC_SQL, _pairs, addressed
 
 QUERIES, SQL = {}, {}
 POWERS, OUTSIDE = (1.0, 1.5, 2.0), (0.0, 0.02, 0.05, 0.1)
@@ -161,6 +161,39 @@ def display_ids(spark, sf_dir):
     return tables.shown_ids(rows, "c_nationkey", "id", 3)
 
 
+# --- states --------------------------------------------------------------------------------------
+
+_LEARNED_SQL = (
+    BOTH_SQL
+    + r""", comp AS (SELECT r.id, r.country, a.state, unnest(list_transform(string_split(lower(address), ','), lambda x: trim(regexp_replace(x, '[^\p{L}0-9]+', ' ', 'g')))) AS comp
+       FROM rec r JOIN addrs a ON r.id = a.id),
+     cnt AS (SELECT country, comp, state, count(*) AS n FROM comp WHERE comp <> '' AND state <> '' AND NOT contains(state, '|') GROUP BY ALL),
+     learned AS (SELECT country, comp, state AS inferred FROM (SELECT *, sum(n) OVER (PARTITION BY country, comp) AS total FROM cnt) WHERE n / total >= 0.95 AND total >= 5)"""
+)
+
+
+def _with_components(spark, sf_dir) -> DataFrame:
+    return addressed(spark, sf_dir).select(F.col("id").alias("other"), "country", "state", text.address_components(F.col("address")).alias("comps"))
+
+
+@query(_LEARNED_SQL + "SELECT country, comp, inferred FROM learned")
+def learned_states(spark, sf_dir):
+    """Address components that stand for a state, with the production share."""
+    return blocking.learned_states(_with_components(spark, sf_dir))
+
+
+@query(
+    _LEARNED_SQL
+    + """, votes AS (SELECT c.id, l.inferred, count(*) AS n FROM comp c JOIN learned l ON c.country = l.country AND c.comp = l.comp WHERE c.state = '' GROUP BY ALL),
+     best AS (SELECT id, inferred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, inferred) AS r FROM votes) WHERE r = 1)
+SELECT r.id AS other, r.country, CASE WHEN a.state = '' THEN coalesce(best.inferred, '') ELSE a.state END AS state FROM rec r JOIN addrs a ON r.id = a.id LEFT JOIN best ON r.id = best.id"""
+)
+def filled_states(spark, sf_dir):
+    """Records with empty states filled from their components."""
+    rows = _with_components(spark, sf_dir)
+    return blocking.fill_states(rows, blocking.learned_states(rows)).select("other", "country", "state")
+
+
 # --- keys and postal codes of pairs --------------------------------------------------------------
 
 
