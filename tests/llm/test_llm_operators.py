@@ -384,6 +384,25 @@ def test_substrings_of_words(spark, group):
             assert r["text"] == b[~want.any(axis=0)].tobytes().decode("utf-8", "ignore") and r["n_kept"] == len(r["text"].encode())
 
 
+def test_substrings_of_a_long_text(spark):
+    """A text of several segments, with repeats across their borders and in itself."""
+    rng = random.Random(23)
+    size = substring_dedup.SEGMENT
+    fill = lambda n: "".join(rng.choices("abcdefgh      ", k=n))
+    passage, other = fill(900), fill(450)
+    long = bytearray(fill(2 * size + 5000).encode())
+    places = [(size - 300, passage), (2 * size - 450, other), (77, other)]
+    for at, text in places:
+        long[at : at + len(text)] = text.encode()
+    texts = [bytes(long).decode(), fill(50) + "|" + passage + "|" + fill(50)]
+    have = [h[0] for h in _span_rows(spark, texts)]
+    want = np.zeros(len(long), dtype=bool)
+    for at, text in places:
+        want[at : at + len(text)] = True
+    assert abs(int(have[0].sum()) - int(want.sum())) <= 12 and not (want & ~have[0]).any()  # chance may lengthen a match by a byte or two
+    assert have[1][51:951].all() and have[1].sum() <= 904
+
+
 def _mutated(rng, passage):
     """A passage with a few bytes changed, cut at both ends."""
     x, y = sorted(rng.sample(range(len(passage)), 2))
