@@ -60,7 +60,7 @@ LIMIT = (ERRORS + 1) * (SYMBOLS // CHUNK) - 1
 BITS = 32
 SKETCH = 128
 AGREE = 73
-BLOCK = 2_048
+BLOCK = 1_024
 COMPARE_BLOCK = 1_000
 
 _RANDOM = np.random.default_rng(2024)
