@@ -167,7 +167,7 @@ def char_ngrams(c: Column, n: int) -> Column:
     """Distinct n-grams of the letters and digits; a shorter text is its own."""
 
     def grams(s: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
+        many = F.regexp_extract_all(s, F.lit(f"(?=(.{{{n}}}))"), 1)  # in one pass; a substring is found from the start of the text
         return F.when(F.length(s) >= n, F.array_distinct(many)).when(s == "", F.array().cast("array<string>")).otherwise(F.array(s))
 
     return bound(F.regexp_replace(F.lower(c), "[^a-z0-9]", ""), grams)

@@ -5,6 +5,7 @@ import re
 import shutil
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -120,6 +121,29 @@ def test_found_writes_no_row_for_a_pair(spark, tmp_path):
     task.release()
 
 
+def test_key_recall_compares_whole_texts(spark, tmp_path):
+    from linkwright.plans.analysis import key_recall_ceiling
+
+    left, right = "aaa " * 80, "bbb " * 80
+    bodies = [(left + "zebra", right + "zebra"), (left[:298] + "foobar", right[:298] + "foo"), ("x y", "x y"), (left, left), ("", "")]
+    docs = [(2 * i + j, f"t{i}.{body}", "en") for i, pair in enumerate(bodies) for j, body in enumerate(pair)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = key_recall_ceiling(spark, str(tmp_path)).first().asDict()
+    # by token: zebra, aaa; by gram: zebra, xy, aaaa
+    assert found == {"pairs": 5, "by_token": 2, "by_gram4": 3, "by_prefix4": 3, "by_any": 3}
+
+
+def test_ngrams_of_a_long_text_take_one_pass(spark):
+    from linkwright.functions import text
+
+    long = spark.range(4).select(F.concat(F.repeat(F.lit("abcdefghij"), 30_000), F.col("id").cast("string")).alias("t"))
+    began = time.time()
+    assert {r["n"] for r in long.select(F.size(text.char_ngrams(F.col("t"), 4)).alias("n")).collect()} == {11}
+    assert time.time() - began < 15
+    short = spark.createDataFrame([("",), ("ab",), ("a-b c",), ("abcd",), ("ababab",)], "t string")
+    assert [r["g"] for r in short.select(text.char_ngrams(F.col("t"), 4).alias("g")).collect()] == [[], ["ab"], ["abc"], ["abcd"], ["abab", "baba"]]
+
+
 def test_states_and_regimes(spark):
     df = spark.createDataFrame([("telangana|andhra pradesh",), ("",)], "state string")
     assert rows(blocking.with_blocks(df), "block") == [("",), ("andhra pradesh",)]
