@@ -502,25 +502,25 @@ def merge_windows(starts: np.ndarray, ends: np.ndarray, base: np.ndarray) -> tup
 
 
 def fetch(wanted: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Bytes of the wanted contexts: f, c, at, first, last, data. ``wanted``: f, c, key, size, place, at."""
+    """Bytes of the wanted contexts: f, c, at, first, last, data, large. ``wanted``: f, c, key, size, place, at, large."""
     start, size, first, last = _place(rule)
-    item = F.struct("f", "c", "at", start.alias("a"), size.alias("k"), first.alias("first"), last.alias("last"))
+    item = F.struct("f", "c", "at", start.alias("a"), size.alias("k"), first.alias("first"), last.alias("last"), "large")
     lists = wanted.groupBy("key", "size").agg(F.collect_list(item).alias("list"))
     once = texts.dropDuplicates(["key", "size"])
     met = once.join(lists, ["key", "size"]).select("text", "list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 rows = []
                 for text, items in zip(batch.column(0).slice(begin, 128), batch.column(1).slice(begin, 128).to_pylist()):
                     data = text.as_py().encode()
-                    rows += [(x["f"], x["c"], x["at"], x["first"], x["last"], data[x["a"] : x["a"] + x["k"]]) for x in items]
+                    rows += [(x["f"], x["c"], x["at"], x["first"], x["last"], data[x["a"] : x["a"] + x["k"]], x["large"]) for x in items]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["f", "c", "at", "first", "last", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["f", "c", "at", "first", "last", "data", "large"])
 
-    return met.mapInArrow(run, "f long, c long, at int, first int, last int, data binary")
+    return met.mapInArrow(run, "f long, c long, at int, first int, last int, data binary, large boolean")
 
 
 MATCHES = "f long, c long, a int, b int, kind int"
@@ -592,11 +592,13 @@ def repeated_spans(df: DataFrame, text_col: str = "text", group: int = GROUP, ru
     repeated = folded.join(per_anchor.where(F.col("total") > 1), "f")
     repeated = materialize(repeated.select("f", "c", F.least("n", F.lit(2)).cast("int").alias("n"), "rep.*", "variants", "single"), "repeated")
 
-    open_ = repeated.where((F.col("variants") > 1) & (F.col("single") > 0))
-    large = open_.where(F.col("variants") > group)
-    matched = materialize(match_groups(fetch(open_.where(F.col("variants") <= group), texts, rule), rule), "matched")
-    if large.limit(1).count():
-        matched = matched.unionByName(materialize(oversized(fetch(large, texts, rule), rule), "matched-large"))
+    open_ = repeated.where((F.col("variants") > 1) & (F.col("single") > 0)).withColumn("large", F.col("variants") > group)
+    found = fetch(open_, texts, rule)
+    if some_large := open_.where("large").limit(1).count():  # the contexts are read three times, but the texts shuffled once
+        found = materialize(found, "contexts")
+    matched = materialize(match_groups(found.where(~F.col("large")), rule), "matched")
+    if some_large:
+        matched = matched.unionByName(materialize(oversized(found.where("large"), rule), "matched-large"))
     start, size, first, last = _place(rule)
     whole = repeated.where(F.col("n") > 1).select(
         "f", "c", F.explode(F.array(F.struct(F.lit(0).alias("a"), size.alias("b"), F.lit(0).alias("kind")), F.struct(first.alias("a"), last.alias("b"), F.lit(1).alias("kind")))).alias("x")

@@ -350,6 +350,22 @@ def test_substrings(spark, group):
         assert substring_dedup.substring_report(df.limit(0)).count() == 0
 
 
+def test_substrings_large_groups_fetch_texts_once(spark, monkeypatch):
+    """Groups of both kinds, settled from one shuffle of the texts."""
+    random.seed(6)
+    text = lambda: "".join(random.choices("abcdefghij ", k=500))
+    common, pair = text(), text()
+    texts = [text() + common + text() for _ in range(4)] + [text() + pair + text() for _ in range(2)] + [text()]
+    calls, ways, fetch, match, oversized = [], set(), substring_dedup.fetch, substring_dedup.match_groups, substring_dedup.oversized
+    monkeypatch.setattr(substring_dedup, "fetch", lambda *a: (calls.append(1), fetch(*a))[1])
+    monkeypatch.setattr(substring_dedup, "match_groups", lambda df, *a: (ways.add(("small", df.count() > 0)), match(df, *a))[1])
+    monkeypatch.setattr(substring_dedup, "oversized", lambda df, *a: (ways.add(("large", df.count() > 0)), oversized(df, *a))[1])
+    for have, want in zip(_span_rows(spark, texts, group=2), _wanted_rows(texts, 400, 0)):
+        assert (have == want).all()
+    assert ways == {("small", True), ("large", True)}
+    assert len(calls) == 1
+
+
 @pytest.mark.parametrize("group", [substring_dedup.GROUP, 1])
 def test_substrings_of_words(spark, group):
     """Passages of over 50 words under 400 bytes; those of 50 words and shorter ones stay."""
